@@ -26,6 +26,19 @@ SAMPLES, SHINGLE = 128, 5
 _BITS, _ROWS = 16, 2048
 
 
+def lowered(text: str) -> str:
+    """Lower case of each character by itself, so that a part of a text has its part of the words."""
+    return text.replace("Σ", "σ").lower()
+
+
+class _Words(dict):
+    """Hashes of words; those met are kept."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Sampler:
     def __init__(self, samples: int = SAMPLES, seed: int = 20240229):
         rng = np.random.default_rng(seed)
@@ -35,20 +48,29 @@ class Sampler:
         self.lnc = np.log(c)
         self.once = (self.lnc + self.r * self.b - self.r).astype(np.float32)  # ln a of weight 1, where t is 0
         self.power = rng.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.word: dict[str, int] = {}
-
-    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the distinct terms, in order, and their weights."""
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.word = _Words()
+
+    def words(self, text: str) -> np.ndarray:
+        words = lowered(text).split()
+        return np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
+
+    def edited_words(self, text: str, following: str, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Hashes of the words of ``edited(text, following)``, from those of both texts: only words at the cuts are new."""
+        half = len(text) // 2
+        a, b = lowered(text[: len(text) - half]), lowered(following[:half])
+        joined = a and b and not a[-1].isspace() and not b[0].isspace()
+        a, b = a.split(), b.split()
+        middle = [*a[-1:], *b[:1]] if not joined else [a[-1] + b[0]]
+        cut = [self.word[w] for w in middle]
+        last = [self.word[b[-1]]] if len(b) > 1 else []
+        return np.concatenate([own[: max(0, len(a) - 1)], np.array(cut, np.uint64), other[1 : max(1, len(b) - 1)], np.array(last, np.uint64)])
+
+    def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct terms, in order, and their weights, from the hashes of the words."""
         if len(self.word) > 500_000:
             self.word.clear()
-        known = self.word
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if not len(h):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         k = min(SHINGLE, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
@@ -59,8 +81,8 @@ class Sampler:
         out ^= out >> np.uint64(32)
         return np.unique(out, return_counts=True)
 
-    def signature(self, text: str) -> np.ndarray:
-        terms, weight = self.terms(text)
+    def signature(self, words: np.ndarray) -> np.ndarray:
+        terms, weight = self.terms(words)
         n = len(self.factor)
         if not len(terms):
             return np.zeros(n, np.uint16)
@@ -68,8 +90,10 @@ class Sampler:
         each = np.arange(n)
         for s in range(0, len(terms), _ROWS):
             h, w = terms[s : s + _ROWS], weight[s : s + _ROWS]
-            at = (self.factor[:, None] * h[None, :]) >> np.uint64(64 - _BITS)
-            lna = self.once[at]
+            at = self.factor[:, None] * h[None, :]
+            at >>= np.uint64(64 - _BITS)
+            at = at.view(np.int64)
+            lna = self.once.take(at, mode="clip")
             many = np.flatnonzero(w > 1)
             if len(many):
                 draw = at[:, many]
@@ -128,12 +152,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         hexed = lambda s: s.astype(">u2").tobytes().hex()
-        prior = first = None  # (doc_id, text, signature, part); first: of the part
+        prior = first = None  # (doc_id, text, signature, part, words); first: of the part
         out: list[tuple] = []
 
         def pair(a: tuple, b: tuple) -> None:
             e = edited(a[1], b[1])
-            s = a[2] if e == a[1] else sampler.signature(e)
+            s = a[2] if e == a[1] else sampler.signature(sampler.edited_words(a[1], b[1], a[4], b[4]))
             out.append((a[0], a[1], e, hexed(a[2]), hexed(s), likeness(a[2], s), likeness(a[2], b[2])))
 
         def flush() -> pa.RecordBatch:
@@ -151,7 +175,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     prior, done = None, False
                 if tail and (done or not prior):
                     continue
-                now = (doc_id, text, sampler.signature(text), part)
+                words = sampler.words(text)
+                now = (doc_id, text, sampler.signature(words), part, words)
                 if prior:
                     pair(prior, now)
                     done = bool(tail)
