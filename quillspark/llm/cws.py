@@ -135,8 +135,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bound_batches(spark)
     n = partitions(spark)
     rows = texts(docs)
-    # at most two splitters a partition
-    cuts = sorted({x for x in (rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n + 1)], 10_000)).first()[0] or []) if x is not None}, reverse=True)
+    ranges_n = 8 * n  # so many that partitions get about as many each
+    cuts = sorted({x for x in (rows.select(F.percentile_approx("doc_id", [k / ranges_n for k in range(1, ranges_n + 1)], 10_000)).first()[0] or []) if x is not None}, reverse=True)
     top = rows.agg(F.max("doc_id")).first()[0]
     cuts = cuts if not cuts or cuts[0] == top else [top, *cuts]
     split = F.array(*map(F.lit, cuts)).cast("array<long>")

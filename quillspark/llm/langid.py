@@ -7,7 +7,7 @@ bytes. The statistics are frozen after training, so the code length of each byte
 table entry, and a text's exact code length in every language is a sum of table rows.
 
 A text that is null or has no letter is ``und`` with score 0; where no row is labelled, all are. Ties go to the language
-first in order. Rows repeat as they come; an empty table gives an empty table; other columns are dropped.
+first in order. Rows repeat as they come; an empty table gives an empty table; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts
+from .common import bound_batches
 
 #: Longest context; training texts of a language, about (the bound of the sample); contexts seen less often are left out.
 ORDER, SAMPLE_DOCS, LEAST = 3, 1500, 2
@@ -137,7 +137,7 @@ def train(docs: DataFrame, train_on: Column, lang: str = "lang") -> ContextTrees
 
 
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (the posterior of that language, all being equally likely before) and ``bits_per_byte``."""
+    """``row`` (all columns of a document), ``lang_pred``, ``score`` (the posterior of that language, all being equally likely before) and ``bits_per_byte``."""
     spark = docs.sparkSession
     bound_batches(spark)
     model = spark.sparkContext.broadcast(trees)  # bounded by the sample
@@ -145,7 +145,7 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            raw = b.column(1).to_pylist()
+            raw = [t or "" for t in b.column(0).field("text").to_pylist()]
             data = [t.encode("utf-8", "surrogatepass") for t in raw]
             ok = np.array([bool(m.langs and _LETTER.search(t)) for t in raw])
             best, score, rate = np.zeros(len(raw), int), np.zeros(len(raw)), np.zeros(len(raw))
@@ -157,6 +157,7 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
                 score = 1 / np.exp2(-np.minimum(bits - least[:, None], 500)).sum(axis=1)
                 rate = least / np.maximum(size, 1)
             lang = [m.langs[k] if o else UND for k, o in zip(best, ok, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, rate, 0.0))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, rate, 0.0))], ["row", "lang_pred", "score", "bits_per_byte"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")

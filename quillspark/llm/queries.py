@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contentsort, cws, langid, simhash, spm, tokencount
+from . import contentsort, cws, langid, mixing, simhash, spans, spm, suffix, tokencount, toxic
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,31 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs, ~langid.held_out(F.col("doc_id"))))
-    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_OP4 = f"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '{spans.SENTENCE}') AS u FROM d),
+n AS (SELECT doc_id, text, u, list_transform(u, lambda x: lower(trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g')))) AS v FROM u),
+p AS (SELECT doc_id, text, u, v, unnest(range(0, greatest(len(u) - {spans.RUN}, 0) + 1)) AS pos FROM n WHERE len(u) > 0),
+r AS (SELECT doc_id, text, pos, array_to_string(list_slice(v, pos + 1, pos + {spans.RUN}), ' ') AS run FROM p),
+s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM r WHERE length(run) >= {spans.LEAST}),
+g AS (SELECT doc_id, text, list_distinct(flatten(list(range(pos, pos + {spans.RUN})))) AS gone FROM s WHERE k > 1 GROUP BY doc_id, text),
+f AS (SELECT documents.doc_id, u.u, list_filter(list_transform(range(0, len(u.u)), lambda i: CASE WHEN coalesce(list_contains(g.gone, i), false) THEN NULL ELSE u.u[i + 1] END), lambda x: x IS NOT NULL) AS kept
+  FROM documents JOIN u ON u.doc_id = documents.doc_id AND u.text = coalesce(documents.text, '') LEFT JOIN g ON g.doc_id = u.doc_id AND g.text = u.text)
+SELECT doc_id, len(u) AS n_sentences, len(u) - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ''), '')) AS kept_sha256 FROM f"""
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +75,47 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxic.score(docs, toxic.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+def _sql_op10() -> str:
+    parts = [
+        "d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS n_tokens,"
+        " CASE WHEN contains(text, 'License') OR contains(text, 'license') THEN 'legal' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '://') THEN 'web'"
+        " WHEN length(coalesce(text, '')) < 1200 THEN 'short' WHEN length(text) >= 6000 THEN 'long' ELSE 'prose' END AS topic FROM documents)",
+        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w, sum(n_tokens)::DOUBLE AS x FROM d GROUP BY ALL)",
+    ]
+    for m in mixing.MARGINS:
+        parts.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(w), {mixing.TEMPER}) / sum(pow(sum(w), {mixing.TEMPER})) OVER () * (SELECT sum(w) FROM c0) AS target FROM c0 GROUP BY {m})")
+    k = 0
+    for _ in range(mixing.STEPS):
+        for m in mixing.MARGINS:
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT source, lang, topic, w, CASE WHEN s > 0 THEN x * target / s ELSE 0 END AS x FROM (SELECT *, sum(x) OVER (PARTITION BY {m}) AS s FROM c{k}) JOIN t_{m} USING ({m}))")
+            k += 1
+    parts.append(f"f AS MATERIALIZED (SELECT source, lang, topic, (x / w) / max(x / w) OVER () AS p FROM c{k} WHERE w > 0)")
+    return "WITH " + ",\n".join(parts) + """
+SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0) < p AS kept
+FROM d JOIN f USING (source, lang, topic)"""
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_langid, op5_simhash, op6_sentencepiece, op7_exact_dedup, op8_token_counts)}
+    ops = (op1_fingerprints, op2_langid, op3_suffix_dedup, op4_sentence_spans, op5_simhash, op6_sentencepiece, op7_exact_dedup, op8_token_counts, op9_toxicity, op10_mixing)
+    return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": SQL_OP7}
+    return {"op4_sentence_spans": SQL_OP4, "op7_exact_dedup": SQL_OP7, "op10_mixing": _sql_op10()}
