@@ -78,7 +78,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxic.score(docs, toxic.train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxic.THRESHOLD).alias("toxic"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

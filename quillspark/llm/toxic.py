@@ -1,8 +1,8 @@
 """Operator 9, toxicity by a classifier chain.
 
 The categories come from ``labels``, in the order of ``CATEGORIES``. Each category's model is a logistic regression on the
-words and word beginnings of a text, which are weighted by their log count ratio, and on the probabilities of all
-earlier categories; in training these are out-of-fold predictions, so a later model sees them as wrong as they are on new
+words and word beginnings of a text, which are weighted by their log count ratio, on how many it has, and on the probabilities
+of all earlier categories; in training these are out-of-fold predictions, so a later model sees them as wrong as they are on new
 texts. It is fitted on a bounded sample of labelled rows, about ``SAMPLE`` of each combination of labels.
 
 Null text counts as empty; null labels and labels of unknown documents are not trained on; a category without both
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, texts
 
-SAMPLE, FOLDS, LEAST_DOCS, STEM, STEPS = 2000, 3, 4, 5, 80
+SAMPLE, FOLDS, LEAST_DOCS, STEM, STEPS = 2000, 3, 8, 5, 80
+#: Words whose log count ratio is less than this say nothing; a document is marked from this probability on.
+LEAST_RATIO, THRESHOLD = 1.0, 0.8
 _EDGE = ".,;:!?()[]{}\"'"
 
 
@@ -69,6 +71,7 @@ def fit(x: Rows, dense: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarra
         return np.zeros(size), np.r_[np.zeros(dense.shape[1]), np.log(p / (1 - p))]
     yes, no = x.back(y, size) + 0.5, x.back(1 - y, size) + 0.5
     ratio = np.log(yes / (y.sum() + 1)) - np.log(no / (len(y) - y.sum() + 1))
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0
     extra = np.c_[dense, np.ones(len(y))]
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     v, u = np.full(size, 0.1), np.zeros(extra.shape[1])
@@ -96,7 +99,7 @@ class Chain:
         x = Rows([[self.column[f] for f in sorted(s) if f in self.column] for s in sets])
         size = len(self.column)
         self.sparse, self.dense = np.zeros((size, len(names))), []
-        earlier = np.zeros((len(sets), 0))
+        earlier = np.log1p(x.n)[:, None]  # long texts have more words of any kind
         for c in range(len(names)):
             y = labels[:, c]
             known = np.flatnonzero(~np.isnan(y))
@@ -113,10 +116,10 @@ class Chain:
     def predict(self, docs: list[str]) -> np.ndarray:
         get = self.column.get
         x = Rows([[i for f in sorted(features(t)) if (i := get(f)) is not None] for t in docs])
-        p = np.zeros((len(docs), 0))
+        p = np.log1p(x.n)[:, None]
         for c, u in enumerate(self.dense):
             p = np.c_[p, _sigmoid(x.dot(self.sparse[:, c]) + p @ u[:-1] + u[-1])]
-        return p
+        return p[:, 1:]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
