@@ -1,0 +1 @@
+"""Literature-record processing as DataFrame plans: normalisation, resolution, gates, expansion, audit and export."""
