@@ -18,6 +18,7 @@ doc_ids stay as they are. An empty table gives an empty table; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, partitions, texts, written
 
-LENGTH, K = 400, 32
+LENGTH, K = 400, 128
 SPAN = LENGTH - K + 1
 #: Bytes of contexts in a shard, about; occurrences of an anchor that go to one shard.
 SHARD, SPLIT = 2 << 20, 1500
@@ -46,7 +47,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         h = h[:-width] * _ODD[level] + h[width:]
         width, level = 2 * width, level + 1
     h ^= h >> np.uint64(29)
-    h *= _ODD[6]
+    h *= _ODD[7]
     h ^= h >> np.uint64(32)
     m = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)  # of equals the leftmost
     width = 1
@@ -181,61 +182,100 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2 + [pa.int32()], strict=True)], ["k", "n", "c1", "c2", "ctx", "t1", "t2", "s"])
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each context the bits of its repeated windows; and heads of split anchors. Rows come sorted by anchor and salt."""
-    names = ["c1", "c2", "bits", "d1", "d2", "o", "n"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+def _packed(*columns: np.ndarray) -> bytes:
+    return np.column_stack([c.astype(np.int64) for c in columns]).tobytes()
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
-        ctxs = [r[4] for r in rows]
-        owner, start, cls = window_classes(ctxs)
+
+def _shard_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each context the bits of its repeated windows; and heads of split anchors, packed by the part that merges them. Rows come sorted by anchor and salt."""
+    names, kinds = ["c1", "c2", "bits", "part", "heads"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    def shard(rows: list[tuple]) -> list[tuple]:
+        owner, start, cls = window_classes([r[4] for r in rows])
         times = np.array([r[5] for r in rows])[owner]
         total = np.bincount(cls, times)[cls]
-        ends = np.cumsum([len(c) - LENGTH + 1 for c in ctxs])
+        ends = np.cumsum([len(r[4]) - LENGTH + 1 for r in rows])
         out = []
-        for i, (r, e) in enumerate(zip(rows, ends.tolist(), strict=True)):
+        for r, e in zip(rows, ends.tolist(), strict=True):
             bits = total[e - (len(r[4]) - LENGTH + 1) : e] >= 2
             if bits.any():
-                out.append((r[2], r[3], np.packbits(bits).tobytes(), None, None, None, None))
-        split = np.array([r[6] for r in rows])[owner]
-        if split.any():
-            pick = np.flatnonzero(split)
+                out.append((r[2], r[3], np.packbits(bits).tobytes(), None, None))
+        pick = np.flatnonzero(np.array([r[6] for r in rows])[owner])
+        if len(pick):
             _, head = np.unique(cls[pick], return_index=True)
-            for w in pick[head].tolist():
-                r, s = rows[owner[w]], int(start[w])
-                out.append((r[2], r[3], None, *_digest(memoryview(r[4])[s : s + LENGTH]), s, min(2, int(total[w]))))
-        cols = list(zip(*out, strict=True)) if out else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    rows: list[tuple] = []
+            head = pick[head]
+            at = [(rows[o], s) for o, s in zip(owner[head].tolist(), start[head].tolist(), strict=True)]
+            d = np.array([_digest(memoryview(r[4])[s : s + LENGTH]) for r, s in at], np.int64)
+            c = np.array([r[2:4] for r, _ in at], np.int64)
+            n = np.minimum(total[head], 2)
+            to = d[:, 0] % parts
+            order = np.argsort(to, kind="stable")
+            for k in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                out.append((None, None, None, int(to[k[0]]), _packed(d[k, 0], d[k, 1], c[k, 0], c[k, 1], start[head[k]], n[k])))
+        return out
+
+    def anchor(rows: list[tuple]) -> list[tuple] | None:
+        """Of contexts of one anchor that need no suffix array: each is a copy of another, and no other shard asks."""
+        if all(r[5] > 1 and not r[6] for r in rows):
+            ones = [np.packbits(np.ones(len(r[4]) - LENGTH + 1, bool)).tobytes() for r in rows]
+            return [(r[2], r[3], o, None, None) for r, o in zip(rows, ones, strict=True)]
+        return [] if len(rows) == 1 and not rows[0][6] else None
+
+    rows: list[tuple] = []  # of the shard
+    same: list[tuple] = []  # of the anchor
+    out: list[tuple] = []
     size = 0
+
+    def close() -> None:
+        nonlocal size
+        plain = anchor(same) if same else []
+        if plain is None:
+            rows.extend(same)
+            size += sum(len(r[4]) for r in same)
+        out.extend(plain or [])
+        same.clear()
+
     for b in batches:
         for r in zip(*(b.column(c).to_pylist() for c in ("k", "salt", "c1", "c2", "ctx", "n", "split")), strict=True):
-            if size >= SHARD and rows[-1][:2] != r[:2]:
-                yield shard(rows)
-                rows, size = [], 0
-            rows.append(r)
-            size += len(r[4])
-    if rows:
-        yield shard(rows)
+            if same and same[0][:2] != r[:2]:
+                close()
+                if size >= SHARD:
+                    out.extend(shard(rows))
+                    rows, size = [], 0
+            same.append(r)
+        yield batch(out)
+        out.clear()
+    close()
+    yield batch(out + (shard(rows) if rows else []))
 
 
 def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that occur once in their shard and again in another. Heads come sorted by digest."""
-    held: np.ndarray = np.zeros((0, 6), np.int64)
+    """Windows that occur once in their shard and again in another, by context. The heads of a part come together."""
 
-    def merged(x: np.ndarray) -> pa.RecordBatch:
-        key = np.ascontiguousarray(x[:, :2]).astype(np.int64).view([("a", np.int64), ("b", np.int64)]).ravel()
+    def merged(heads: list[bytes]) -> pa.RecordBatch:
+        x = np.concatenate([np.frombuffer(h, np.int64).reshape(-1, 6) for h in heads]) if heads else np.zeros((0, 6), np.int64)
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        key = np.ascontiguousarray(x[:, :2]).view([("a", np.int64), ("b", np.int64)]).ravel()
         low, high = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
         upto = np.r_[0, np.cumsum(x[:, 5])]
         found = x[(x[:, 5] == 1) & (upto[high] - upto[low] >= 2)]
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 2]), pa.array(found[:, 3]), pa.array(found[:, 4].astype(np.int32))], ["c1", "c2", "o"])
+        found = found[np.lexsort((found[:, 3], found[:, 2]))]
+        first = np.flatnonzero(np.r_[True, (found[1:, 2:4] != found[:-1, 2:4]).any(axis=1)][: len(found)])
+        os = pa.ListArray.from_arrays(pa.array(np.r_[first, len(found)], pa.int32()), pa.array(found[:, 4].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(found[first, 2]), pa.array(found[first, 3]), os], ["c1", "c2", "os"])
 
+    part, held = None, []
     for b in batches:
-        x = np.concatenate([held, np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("d1", "d2", "c1", "c2", "o", "n")])])
-        cut = int(np.searchsorted(x[:, 0], x[-1, 0])) if len(x) else 0
-        yield merged(x[:cut])
-        held = x[cut:]
+        for p, h in zip(b.column("part").to_pylist(), b.column("heads").to_pylist(), strict=True):
+            if p != part and held:
+                yield merged(held)
+                held = []
+            part = p
+            held.append(h)
     yield merged(held)
 
 
@@ -275,19 +315,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     of_text = rows.mapInArrow(_anchor_rows, "doc_id long, t1 long, t2 long, at array<int>, k array<long>")
     of_text = written(of_text.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("k").alias("k")), "anchors")
     each = of_text.select("t1", "t2", "doc_id", F.explode(F.arrays_zip("at", "k")).alias("a")).select("t1", "t2", "doc_id", "a.at", "a.k")
-    again = each.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(each.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "repeated")  # a table, so that Spark can split the join of a frequent anchor
     want = each.join(again, "k").groupBy("t1", "t2", "doc_id").agg(F.collect_list(F.struct("at", "n")).alias("want"))
     one = rows.alias("r").join(want.alias("w"), (F.col("r.t1") == F.col("w.t1")) & (F.col("r.t2") == F.col("w.t2")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))).select("r.t1", "r.t2", "r.text", "w.want")
     contexts = written(one.mapInArrow(_context_rows, "k long, n long, c1 long, c2 long, ctx binary, t1 long, t2 long, s int"), "contexts")
     shards = F.ceil(F.max("n") / SPLIT)
     distinct = contexts.groupBy("k", "c1", "c2").agg(F.first("ctx", ignorenulls=True).alias("ctx"), F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), shards.alias("shards"))
     distinct = distinct.select("k", F.pmod("c1", "shards").alias("salt"), "c1", "c2", "ctx", "n", (F.col("shards") > 1).alias("split"))
-    found = written(distinct.repartition(n, "k", "salt").sortWithinPartitions("k", "salt").mapInArrow(_shard_rows, "c1 long, c2 long, bits binary, d1 long, d2 long, o int, n int"), "windows")
-    heads = found.where("d1 is not null").select("d1", "d2", "c1", "c2", "o", "n").repartition(n, "d1").sortWithinPartitions("d1", "d2")
-    across = heads.mapInArrow(_merge_rows, "c1 long, c2 long, o int")
-    of_context = found.where("bits is not null").select("c1", "c2", "bits", F.lit(None).cast("int").alias("o")).unionByName(across.select("c1", "c2", F.lit(None).cast("binary").alias("bits"), "o"))
-    of_context = of_context.groupBy("c1", "c2").agg(F.max("bits").alias("bits"), F.collect_set("o").alias("os"))
+    parts = 8 * n
+    found = written(distinct.repartition(n, "k", "salt").sortWithinPartitions("k", "salt").mapInArrow(partial(_shard_rows, parts), "c1 long, c2 long, bits binary, part int, heads binary"), "windows")
+    heads = found.where("part is not null").select("part", "heads").repartition(n, "part").sortWithinPartitions("part")
+    across = heads.mapInArrow(_merge_rows, "c1 long, c2 long, os array<int>")
+    of_context = found.where("bits is not null").select("c1", "c2", "bits", F.lit(None).cast("array<int>").alias("os")).unionByName(across.select("c1", "c2", F.lit(None).cast("binary").alias("bits"), "os"))
+    of_context = written(of_context.groupBy("c1", "c2").agg(F.max("bits").alias("bits"), F.flatten(F.collect_list("os")).alias("os")), "of-context")
     places = contexts.select("c1", "c2", "t1", "t2", "s").join(of_context, ["c1", "c2"])
     of_place = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "bits", "os")).alias("found"))
-    known = of_text.where("copies > 1").select("t1", "t2", "copies").join(of_place, ["t1", "t2"], "full")
+    known = written(of_text.where("copies > 1").select("t1", "t2", "copies").join(of_place, ["t1", "t2"], "full"), "of-text")
     return rows.join(known, ["t1", "t2"], "left").select("doc_id", "text", "copies", "found").mapInArrow(_kept_rows, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
