@@ -37,7 +37,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     each = units.select("doc_id", "t", F.explode(runs).alias("r")).where(F.length("r.run") >= LEAST)
     each = written(each.select("doc_id", "t", F.col("r.pos").alias("pos"), F.xxhash64("r.run").alias("h1"), F.xxhash64(F.lit("second"), "r.run").alias("h2")), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "pos")
-    again = each.distinct().groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    again = written(each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "first-spans")  # a table, so that Spark can split the join of a frequent run
     later = each.join(again, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("pos") == F.col("first.pos"))))
     gone = later.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g"), F.col("t").alias("gt"), "gone")
     found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("t") == F.col("gt")), "left").select("doc_id", sentences(F.col("text")).alias("u"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
