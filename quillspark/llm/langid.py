@@ -68,7 +68,6 @@ class ContextTrees:
                 break
             # contexts one byte longer, where often enough seen
             before = [self.symbol[g >> (8 * (order + 1)) & 255] for _, g, _ in grams]
-            found: dict[int, int] = {}
             keys = [np.where(at >= 0, at * size + b, -1) for at, b in zip(node, before, strict=True)]
             every, inverse = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_inverse=True)
             often = np.bincount(inverse, np.concatenate([c for _, _, c in grams] or [np.zeros(0)]), len(every)) >= LEAST
@@ -80,7 +79,7 @@ class ContextTrees:
             share = share[chosen // size]
             known = np.arange(len(chosen))
             self.offset.append(self.offset[-1] + len(tables[-1]))
-        self.bits = np.concatenate(tables).reshape(-1, n_lang)
+        self.bits = np.concatenate(tables).reshape(sum(map(len, tables)) * size, n_lang)
         self.size = size
         # child tables as global rows: an unknown longer context stays at the shorter one
         step = []
