@@ -1,10 +1,12 @@
-"""Reconciliation of listed and found items, and schema checks compiled to expressions."""
+"""Reconciliation of listed and found items, verification of chained logs, and schema checks compiled to expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import GENESIS, chain_hash
+
 _KINDS = {"string": ("STRING",), "integer": ("BIGINT", "INT", "SMALLINT", "TINYINT"), "boolean": ("BOOLEAN",), "null": ("VOID",)}
 
 
@@ -15,6 +17,21 @@ def reconcile(listed: DataFrame, found: DataFrame, key: str, digest: str) -> Dat
     return a.join(b, key, "full").select(key, F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "unlisted").when(F.col("a") != F.col("b"), "changed").otherwise("ok").alias("state"))
 
 
+def chain_failures(events: DataFrame, log: str) -> DataFrame:
+    """``events`` (count), ``first_bad`` (its ``seq``) and ``failure`` of each log of ``seq`` (from 1), ``payload``, ``previous``, ``digest``: a gap or repeat in
+    the sequence, a previous hash that is not the one before, or a digest that is not the event's. Null never verifies."""
+    w = Window.partitionBy(log).orderBy("seq")
+    rows = events.withColumns({"place": F.row_number().over(w), "before": F.lag("digest", 1, GENESIS).over(w)})
+    failure = (
+        F.when(~F.col("seq").eqNullSafe(F.col("place")), "sequence")
+        .when(~F.coalesce(F.col("previous") == F.col("before"), F.lit(False)), "previous_hash")
+        .when(~F.coalesce(F.col("digest") == chain_hash(F.col("previous"), F.col("payload")), F.lit(False)), "event_hash")
+    )
+    rows = rows.withColumn("failure", failure)
+    worst = F.min(F.when(F.col("failure").isNotNull(), F.struct("place", "seq", "failure")))
+    return rows.groupBy(log).agg(F.count("*").alias("events"), worst.alias("w")).select(log, "events", F.col("w.seq").alias("first_bad"), F.col("w.failure").alias("failure"))
+
+
 def violations(value: Column, schema: dict, path: str = "$") -> Column:
     """Paths at which a variant breaks a schema (type, required, properties, additionalProperties, enum, const, allOf)."""
     shape = F.schema_of_variant(F.try_variant_get(value, path, "variant"))

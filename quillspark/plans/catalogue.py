@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, policy, text, urls
-from ..operators import graph, resolve
+from ..operators import audit, graph, references, resolve
 from ..streaming import ledger
 from .rules import Rule, pattern
 from .tables import read, saved
@@ -391,6 +391,20 @@ def q_chain_verify(spark, sf):
     return checked.groupBy("conv_id").agg(F.count("*").alias("events"), F.min(F.when(~F.col("ok"), F.col("k"))).alias("first_bad"))
 
 
+@query("""WITH o AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 4 = 1 AND n >= 2 THEN n - 1 ELSE n END AS events, CASE WHEN conv_id % 4 IN (0, 2) AND n >= 2 THEN 2 WHEN conv_id % 4 = 1 AND n >= 3 THEN 3 END AS first_bad,
+CASE WHEN conv_id % 4 = 0 AND n >= 2 THEN 'event_hash' WHEN conv_id % 4 = 2 AND n >= 2 THEN 'previous_hash' WHEN conv_id % 4 = 1 AND n >= 3 THEN 'sequence' END AS failure FROM o""")
+def q_tamper(spark, sf):
+    """The second event of each log is, by conv_id, altered, taken out, tied to another event, or left alone."""
+    logs = _logs(spark, sf).withColumn("h", hashing.build_chain(F.transform("es", lambda e: e["p"])))
+    rows = logs.select("conv_id", F.posexplode(F.arrays_zip(F.col("es.p").alias("p"), F.col("h").alias("h"))).alias("i", "x"), "h")
+    second = lambda k: (F.col("i") == 1) & (F.col("conv_id") % 4 == k)
+    before = F.when(second(2) | (F.col("i") == 0), F.lit(hashing.GENESIS)).otherwise(F.get("h", F.col("i") - 1))
+    payload = F.when(second(0), F.concat(F.col("x.p"), F.lit("!"))).otherwise(F.col("x.p"))
+    events = rows.where(~second(1)).select("conv_id", (F.col("i") + 1).alias("seq"), payload.alias("payload"), before.alias("previous"), F.col("x.h").alias("digest"))
+    return audit.chain_failures(events, "conv_id")
+
+
 @query("""SELECT s.event_id FROM events s WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = s.user_id AND e.event_type = 'error' AND e.event_id > s.event_id)""")
 def q_rescission(spark, sf):
     e = read(spark, sf, "events")
@@ -427,16 +441,33 @@ def q_resume(spark, sf):
 # --- quotes, references, evaluation ------------------------------------------------------------------------------------------
 
 
-@query("""SELECT b.item_id, d.doc_id, ((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text))::INT AS n, instr(d.text, b.text) - 1 AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
-def q_quote_locate(spark, sf):
+def _quoted(spark, sf):
     """Quotes of five words or more meet texts by their second to fourth word, which are whole words wherever the quote stands, and are then compared whole."""
     words = lambda c: F.split(F.col(c), "[ \n]")
     quotes = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words("text"), 2, 3), " ").alias("key"))
     docs = read(spark, sf, "documents").select("doc_id", "text")
     grams = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2))))).alias("key"))
     spots = grams.join(quotes.select("key").distinct(), "key", "left_semi")
-    pairs = spots.join(quotes, "key").select("doc_id", "item_id", "quote").join(docs, "doc_id").where(F.contains("text", F.col("quote")))
-    return pairs.select("item_id", "doc_id", text.quote_count(F.col("text"), F.col("quote")).alias("n"), (F.instr(F.col("text"), F.col("quote")) - 1).cast("long").alias("at"))
+    return spots.join(quotes, "key").select("doc_id", "item_id", "quote").join(docs, "doc_id").where(F.contains("text", F.col("quote")))
+
+
+@query("""SELECT b.item_id, d.doc_id, ((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text))::INT AS n, instr(d.text, b.text) - 1 AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+def q_quote_locate(spark, sf):
+    return _quoted(spark, sf).select("item_id", "doc_id", text.quote_count(F.col("text"), F.col("quote")).alias("n"), (F.instr(F.col("text"), F.col("quote")) - 1).cast("long").alias("at"))
+
+
+_AT = "instr(d.text, b.text) - 1"
+_FROM = f"greatest({_AT} - 120, 0)"
+
+
+@query(f"""SELECT b.item_id, d.doc_id, sha256(b.text) AS quote_sha256, CASE WHEN length(replace(d.text, b.text, '')) = length(d.text) - length(b.text) THEN 'unique' ELSE 'ambiguous' END AS locator,
+sha256(substr(trim(regexp_replace(substr(d.text, {_FROM} + 1, least(length(d.text), {_AT} + length(b.text) + 120) - {_FROM}), '\\s+', ' ', 'g')), 1, 320)) AS excerpt_sha256 FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+def q_excerpt_hash(spark, sf):
+    """A quote is bound by its digest and that of its surroundings; it locates only where it occurs once."""
+    t, q = F.col("text"), F.col("quote")
+    at = F.instr(t, q) - 1
+    locator = F.when(text.quote_count(t, q) == 1, "unique").otherwise("ambiguous")
+    return _quoted(spark, sf).select("item_id", "doc_id", F.sha2("quote", 256).alias("quote_sha256"), locator.alias("locator"), F.sha2(text.excerpt(t, at, at + F.length(q)), 256).alias("excerpt_sha256"))
 
 
 @query("""WITH p AS (SELECT conv_id, turn, list_filter(string_split_regex(replace(text, '. ', '.' || chr(10) || chr(10)), '\\n[ \\t\\r\\n]*\\n'), lambda x: trim(x) <> '') AS ps FROM conversations)
@@ -465,6 +496,22 @@ def q_dangling(spark, sf):
     return c.join(r, "k", "left_anti").withColumn("kind", F.lit("dangling")).unionByName(r.join(c, "k", "left_anti").withColumn("kind", F.lit("uncited")))
 
 
+@query("""WITH l AS (SELECT conv_id, turn, turn % 3 = 1 AS m, trim(substr(text, 1, 30)) AS t FROM conversations), g AS (SELECT *, sum(m::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM l)
+SELECT conv_id AS doc, (max(turn) FILTER (m))::INT AS number, min(turn) // 2 AS page, count(*) AS n_lines, string_agg(t, ' ' ORDER BY turn) AS entry FROM g WHERE g > 0 GROUP BY conv_id, g.g""")
+def q_ref_lines(spark, sf):
+    """Each third turn opens an entry; two turns make a page."""
+    t, turn = F.trim(F.substring("text", 1, 30)), F.col("turn")
+    marked = F.when(turn % 3 == 1, F.concat(F.lit("["), turn.cast("string"), F.lit("] "), t)).otherwise(t)
+    return references.entries(read(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.expr("turn div 2").alias("page"), turn.alias("line"), marked.alias("text")))
+
+
+@query("""WITH s AS (SELECT l_partkey, l_suppkey, round(sum(l_quantity), 2)::DOUBLE AS score FROM lineitem GROUP BY l_partkey, l_suppkey)
+SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, l_suppkey) AS place FROM s QUALIFY place <= 3""")
+def q_ref_top(spark, sf):
+    scored = read(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.sum("l_quantity"), 2).cast("double").alias("score"))
+    return references.best(scored, "l_partkey", "score", "l_suppkey", 3)
+
+
 @query("""SELECT p_partkey, 'Smith' AS first_author, p_name AS title, p_brand AS journal, (1990 + p_size)::INT AS year, '10.1000/p' || p_partkey AS doi FROM part""")
 def q_ref_parse(spark, sf):
     k = F.col("p_partkey").cast("string")

@@ -121,3 +121,62 @@ def test_ledger_stream_equals_batch(spark, tmp_path):
     ledger.stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ledger_now", str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(spark.table("ledger_now").collect()) == sorted(ledger.latest(df).collect())
     assert ledger.batch_status(ledger.latest(df)).first().batch_status == "partial"
+
+
+def test_page_text_is_cleaned(spark):
+    from quillspark.functions.text import clean_page
+
+    cases = {"a ﬁne exam-\n ple": "a fine example", "J 20 0 5;49": "J 2005;49", "20 0 5 x": "20 0 5 x", " a\t b\n\n c ": "a b c", "": "", "é-\né": "éé", "a -\nb": "a - b"}
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    got = {r.t: r.c for r in rows.select("t", clean_page(F.col("t")).alias("c")).collect()}
+    assert got == {**cases, None: None}
+
+
+def test_chain_failures(spark):
+    import hashlib
+
+    from quillspark.functions.hashing import GENESIS
+    from quillspark.operators.audit import chain_failures
+
+    def log(name, payloads):
+        before, out = GENESIS, []
+        for k, p in enumerate(payloads, 1):
+            digest = hashlib.sha256(f"{before}|{p}".encode()).hexdigest()
+            out.append([name, k, p, before, digest])
+            before = digest
+        return out
+
+    rows, want = log("good", "abc"), {"good": (3, None, None)}
+    bad = log("null payload", "abc")
+    bad[1][2] = None
+    rows += bad
+    want["null payload"] = (3, 2, "event_hash")
+    bad = log("null before", "abc")
+    bad[0][3] = None
+    rows += bad
+    want["null before"] = (3, 1, "previous_hash")
+    bad = log("repeat", "ab")
+    rows += [*bad, bad[0]]
+    want["repeat"] = (3, 1, "sequence")
+    rows += log("gap", "abcd")[1:]
+    want["gap"] = (3, 2, "sequence")
+    events = spark.createDataFrame(rows, "log string, seq int, payload string, previous string, digest string")
+    got = chain_failures(events, "log").collect()
+    assert {r.log: (r.events, r.first_bad, r.failure) for r in got} == want
+    assert chain_failures(events.limit(0), "log").count() == 0
+
+
+def test_entries_run_over_lines_and_pages(spark):
+    from quillspark.operators.references import entries
+
+    rows = [(1, 1, 1, "References"), (1, 1, 2, "[1] A."), (1, 1, 3, "more"), (1, 2, 1, "and more"), (1, 2, 2, " [22]  B."), (1, 2, 3, None), (2, 1, 1, "no marker [3] here")]
+    lines = spark.createDataFrame(rows, "doc int, page int, line int, text string")
+    assert sorted(map(tuple, entries(lines).collect())) == [(1, 1, 1, 3, "A. more and more"), (1, 22, 2, 2, "B. ")]
+    assert entries(lines.limit(0)).count() == 0
+
+
+def test_best_of_equal_scores_by_order(spark):
+    from quillspark.operators.references import best
+
+    rows = spark.createDataFrame([("a", 0.5, 2), ("a", 0.5, 1), ("a", 0.9, 3), ("a", None, 0), ("b", None, 4)], "k string, s double, seq int")
+    assert sorted((r.k, r.place, r.seq) for r in best(rows, "k", "s", "seq", 2).collect()) == [("a", 1, 3), ("a", 2, 1), ("b", 1, 4)]
