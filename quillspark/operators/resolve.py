@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import title_similarity
+from ..functions.text import similar_titles
+from ..plans.tables import saved
 from .graph import labels
 
 SIMILAR = 0.86
@@ -55,15 +56,19 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def clusters(records: DataFrame) -> DataFrame:
     """``seq``, ``cluster`` (seq of its first record). A cluster never reaches beyond a component, so each is folded by itself."""
-    return records.join(components(records), "seq").groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "seq long, cluster long")
+    keys = saved(records.select("seq", "doi", "pmid", "norm"), "keys")
+    return keys.join(components(keys), "seq").groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "seq long, cluster long")
 
 
 def merged(records: DataFrame) -> DataFrame:
-    """One row a cluster: its first title, the first value of each field, all sources, and conflicts."""
-    rows = records.join(clusters(records), "seq")
-    w = Window.partitionBy("cluster").orderBy("seq")
-    rows = rows.withColumn("first_title", F.first("title").over(w)).withColumn("doi_before", F.first("doi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("doi_conflict", F.coalesce(F.col("doi") != F.col("doi_before"), F.lit(False)))
-    rows = rows.withColumn("title_conflict", (F.col("seq") != F.col("cluster")) & (title_similarity("first_title", "title") < SIMILAR))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    """One row a cluster: its first title, the first value of each field, all sources, and conflicts.
+
+    A doi conflicts if it is not the cluster's first; a title, if it is not similar to that of the first record. Titles are
+    compared in partitions of records, not of clusters, so that a large cluster is not one task."""
+    rows = saved(records.drop("norm").join(clusters(records), "seq"), "clustered")
+    first = lambda c, *more: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(*more or (c,))
+    firsts = rows.groupBy("cluster").agg(F.min_by("title", "seq").alias("first_title"), first("doi", "first_doi"))
+    rows = rows.join(firsts, "cluster").repartition("seq")
+    other = F.when((F.col("seq") != F.col("cluster")) & (F.col("title") != F.col("first_title")), F.col("title"))
+    rows = rows.withColumns({"doi_conflict": F.coalesce(F.col("doi") != F.col("first_doi"), F.lit(False)), "title_conflict": ~similar_titles("first_title", other, F.lit(SIMILAR))})
     return rows.groupBy("cluster").agg(F.min_by("title", "seq").alias("title"), first("doi"), first("pmid"), first("year"), F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"), F.count_if("doi_conflict").alias("doi_conflicts"), F.count_if("title_conflict").alias("title_conflicts"))
