@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import saved
@@ -35,8 +35,6 @@ def expand(edges: DataFrame, seeds: DataFrame, rounds: int, cap: int | None = No
     for k in range(1, rounds + 1):
         near = edges.join(seen.where(F.col("round") == k - 1).select(F.col("node").alias("src")), "src")
         if per_node is not None:
-            from pyspark.sql import Window
-
             near = near.withColumn("p", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("p") <= per_node)
         new = near.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         if cap is not None:
@@ -50,6 +48,35 @@ def expand(edges: DataFrame, seeds: DataFrame, rounds: int, cap: int | None = No
     return seen, spark.createDataFrame([(k, n, reason if k == len(log) else "") for k, n in log], "round int, found long, stop string")
 
 
+def expand_shared(incidence: DataFrame, seeds: DataFrame, rounds: int, stop_at: int = 0) -> DataFrame:
+    """Nodes reached from ``seeds`` (``node``), with their round, where nodes of one key (``node``, ``key``) are neighbours.
+
+    A round goes from the frontier to its keys and from those to their nodes, so no pairs of nodes are made; a key is
+    taken once, since all its nodes are seen after that."""
+    member = saved(incidence.select("node", "key").where("node IS NOT NULL AND key IS NOT NULL").distinct(), "incidence")
+    seen = saved(seeds.select("node", F.lit(0).alias("round")).distinct(), "seen")
+    used = None
+    for k in range(1, rounds + 1):
+        keys = member.join(seen.where(F.col("round") == k - 1).select("node"), "node").select("key").distinct()
+        keys = saved(keys if used is None else keys.join(used, "key", "left_anti"), "keys")
+        used = keys if used is None else saved(used.unionByName(keys), "used")
+        new = member.join(keys, "key").select("node").distinct().join(seen.select("node"), "node", "left_anti")
+        seen = saved(seen.unionByName(new.withColumn("round", F.lit(k))), "seen")
+        if seen.where(F.col("round") == k).count() <= stop_at:
+            break
+    return seen
+
+
+def neighbour_counts(incidence: DataFrame, most: int) -> DataFrame:
+    """``node`` and ``n``, its distinct neighbours (nodes that share a key) counted up to ``most``; nodes without one are left out.
+
+    The first ``most`` + 1 nodes of each key suffice for that: they hold ``most`` others for any node, or all there are."""
+    member = saved(incidence.select("node", "key").where("node IS NOT NULL AND key IS NOT NULL").distinct(), "incidence")
+    few = member.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("k") <= most + 1)
+    near = member.join(few.select("key", F.col("node").alias("other")), "key").where("node <> other").select("node", "other").distinct()
+    return near.groupBy("node").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+
+
 def on_cycle(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Nodes on a cycle or between cycles: nodes without a way in or out are taken away until none is left to take."""
     e = saved(edges.select("src", "dst").distinct(), "edges")
