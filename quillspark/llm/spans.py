@@ -1,9 +1,11 @@
 """Operator 4, substring deduplication by sliding sentence spans, in DataFrame operations.
 
-A text is cut into sentences, at line ends too; a sentence of more than ``WORDS`` words is cut after each WORDS of them.
+A text is cut into sentences, at line ends too. A sentence of more than ``WORDS`` words is cut further where its words say
+so: after the word of least hash of every ``WINDOW`` words, so that equal passages have equal cuts whatever precedes them.
 Every run of ``RUN`` consecutive sentences (all sentences of a shorter text), in lower case and with single spaces, is
-hashed if it has at least ``LEAST`` characters. Runs are joined globally; the first occurrence of a run is the one of least
-doc_id (null: last), text hash and place; sentences that any later occurrence covers are removed.
+hashed; one of fewer than ``LEAST`` characters is lengthened by the sentences that follow. Runs are joined globally; the
+first occurrence of a run is the one of least doc_id (null: last), text hash and place; sentences that any later occurrence
+covers are removed.
 
 Null text counts as empty, without sentences. Rows that repeat both doc_id and text count as one document and get equal
 results. An empty table gives an empty table; other columns are dropped.
@@ -16,13 +18,32 @@ from pyspark.sql import functions as F
 
 from .common import texts, written
 
-RUN, WORDS, LEAST = 3, 12, 50
-#: White space and sentence ends are these characters, in Spark and in SQL engines alike.
+RUN, WORDS, LEAST, WINDOW = 3, 12, 50, 8
+#: White space and sentence ends are these characters, in Spark and in SQL engines alike. The registered SQL cuts by count, with this.
 SENTENCE = r"(?:[^ \t\r\n]*[^ \t\r\n.!?][ \t]+){0,%d}[^ \t\r\n]+[ \t\r\n]*" % (WORDS - 1)
+WHOLE = r"[^ \t\r\n][^\r\n]*?(?:(?<=[.!?])(?=[ \t\r\n]|\z)|(?=[ \t]*(?:[\r\n]|\z)))[ \t\r\n]*"
+WORD, LONGER = r"[^ \t\r\n]+[ \t\r\n]*", r"^(?:[^ \t\r\n]+[ \t]+){%d}[^ \t\r\n]" % WORDS
+
+
+def parts(sentence: Column) -> Column:
+    """A sentence cut after the word of least hash of every WINDOW words (the first of equal ones)."""
+    words = F.regexp_extract_all(sentence, F.lit(WORD), F.lit(0))
+    marks = F.transform(words, lambda w, i: F.struct(F.xxhash64(F.lower(F.trim(F.regexp_replace(w, r"[ \t\r\n]+", " ")))).alias("h"), (i + 1).alias("at")))
+
+    def cut(ws: Column, ms: Column) -> Column:
+        least = F.transform(F.sequence(F.lit(1), F.size(ws) - WINDOW + 1), lambda j: F.array_min(F.slice(ms, j, WINDOW))["at"])
+        return F.array_distinct(F.concat(F.array(F.lit(0)), least, F.array(F.size(ws))))
+
+    def joined(ws: Column, ends: Column) -> Column:
+        return F.transform(F.slice(ends, 2, F.size(ends)), lambda e, i: F.array_join(F.slice(ws, F.get(ends, i) + 1, e - F.get(ends, i)), ""))
+
+    # one-element arrays bind a value once
+    each = F.transform(F.array(F.struct(words.alias("ws"), marks.alias("ms"))), lambda x: F.struct(x["ws"].alias("ws"), cut(x["ws"], x["ms"]).alias("ends")))
+    return F.element_at(F.transform(each, lambda x: joined(x["ws"], x["ends"])), 1)
 
 
 def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WHOLE), F.lit(0)), lambda s: F.when(s.rlike(LONGER), parts(s)).otherwise(F.array(s))))
 
 
 def normalised(sentence: Column) -> Column:
@@ -33,14 +54,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_sentences``, ``n_removed``, ``kept`` (the text of the other sentences) of every whole text."""
     rows = texts(docs).withColumn("t", F.xxhash64("text"))
     units = rows.select("doc_id", "t", F.transform(sentences(F.col("text")), normalised).alias("u")).where("size(u) > 0")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("u") - RUN, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("u", i + 1, RUN), " ").alias("run")))
-    each = units.select("doc_id", "t", F.explode(runs).alias("r")).where(F.length("r.run") >= LEAST)
-    each = written(each.select("doc_id", "t", F.col("r.pos").alias("pos"), F.xxhash64("r.run").alias("h1"), F.xxhash64(F.lit("second"), "r.run").alias("h2")), "spans")
+    text_of = lambda i, n: F.array_join(F.slice("u", i + 1, n), " ")
+    # LEAST characters take no more than LEAST / 2 + 1 sentences, since each has a character and a space
+    more = lambda i: F.get(F.filter(F.sequence(F.lit(RUN + 1), F.lit(LEAST // 2 + 1)), lambda n: F.length(text_of(i, n)) >= LEAST), F.lit(0))
+    size = F.transform(F.sequence(F.lit(0), F.greatest(F.size("u") - RUN, F.lit(0))), lambda i: F.struct(i.alias("pos"), F.when(F.length(text_of(i, RUN)) >= LEAST, F.least(F.lit(RUN), F.size("u"))).otherwise(more(i)).alias("n")))
+    each = units.select("doc_id", "t", "u", F.explode(F.filter(size, lambda r: r["n"].isNotNull())).alias("r"))
+    run = text_of(F.col("r.pos"), F.col("r.n"))
+    each = written(each.select("doc_id", "t", F.col("r.pos").alias("pos"), F.col("r.n").cast("byte").alias("n_run"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit("second"), run).alias("h2")), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "pos")
     again = written(each.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "first-spans")  # a table, so that Spark can split the join of a frequent run
     later = each.join(again, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("pos") == F.col("first.pos"))))
-    gone = later.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g"), F.col("t").alias("gt"), "gone")
-    found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("t") == F.col("gt")), "left").select("doc_id", sentences(F.col("text")).alias("u"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    covered = F.array_distinct(F.flatten(F.transform("gone", lambda p: F.sequence(p, p + RUN - 1))))
-    found = found.withColumn("out", covered).withColumn("kept", F.filter("u", lambda x, i: ~F.array_contains(F.col("out"), i)))
+    gone = later.groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "n_run")).alias("gone")).select(F.col("doc_id").alias("g"), F.col("t").alias("gt"), "gone")
+    found = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("t") == F.col("gt")), "left").select("doc_id", sentences(F.col("text")).alias("u"), "gone")
+    covered = F.flatten(F.transform("gone", lambda p: F.sequence(p["pos"], p["pos"] + p["n_run"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("u") - 1), covered)
+    found = found.withColumn("kept", F.when(F.col("gone").isNull() | (F.size("u") == 0), F.col("u")).otherwise(F.transform(left, lambda i: F.get("u", i))))
     return found.select("doc_id", F.size("u").cast("long").alias("n_sentences"), (F.size("u") - F.size("kept")).cast("long").alias("n_removed"), F.array_join("kept", "").alias("kept"))

@@ -251,3 +251,24 @@ def test_fingerprint_bits():
     w = t.lower().split()
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]), 42) for i in range(3)]
     assert simhash.simhash(t) == sum(1 << k for k in range(64) if sum(x >> k & 1 for x in h) * 2 > 3)
+
+
+def test_spans_shifted_and_short(spark):
+    def words(k, n):
+        return " ".join(hashlib.md5(f"{k} {i}".encode()).hexdigest()[:6] for i in range(n))
+
+    passage, short = words("p", 60), "Oh no. Go. Ah. Yes. It is. Run. Who? Me. So. Up. Do. See. Not now. Why? Ha. Hm."
+    rows = [(1, f"{words('a', 5)} {passage} {words('b', 9)}"), (2, f"{words('c', 8)} {passage} {words('d', 3)}"), (3, f"Start one. {short}"), (4, f"{words('e', 4)}. {short} {words('f', 4)}.")]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == got[3].n_removed == 0
+    left = got[2].kept.split()
+    assert set(words("c", 8).split() + words("d", 3).split()) <= set(left)
+    assert len(set(passage.split()) & set(left)) < 30
+    assert got[4].kept.split() == f"{words('e', 4)}. {words('f', 4)}.".split()
+
+
+def test_sentences_keep_text(spark):
+    for t in ["a b. c\n\nd e !  f .", "x " * 13, " . .. a.b c? ! d\t\r\ne", " ".join(f"w{i % 5}" for i in range(5000)), "one. " + "two three " * 10 + "end. last"]:
+        u = spark.createDataFrame([(t,)], "t string").select(spans.sentences(F.col("t"))).first()[0]
+        assert "".join(u) == t.lstrip(" \t\r\n")
+        assert max(len(x.split()) for x in u) <= spans.WORDS
