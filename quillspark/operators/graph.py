@@ -77,11 +77,13 @@ def neighbour_counts(incidence: DataFrame, most: int) -> DataFrame:
     return near.groupBy("node").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
 
 
-def on_cycle(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Nodes on a cycle or between cycles: nodes without a way in or out are taken away until none is left to take."""
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle or between cycles: nodes without a way in or out are taken away until none is left to take.
+
+    A round takes one node off each end of a path, and there are as many rounds as that needs."""
     e = saved(edges.select("src", "dst").distinct(), "edges")
     left = e.count()
-    for _ in range(most_rounds):
+    while left:
         ins, outs = e.select(F.col("dst").alias("n")).distinct(), e.select(F.col("src").alias("n")).distinct()
         e = saved(e.join(ins, e.src == ins.n, "left_semi").join(outs, e.dst == outs.n, "left_semi"), "edges")
         now = e.count()

@@ -1,6 +1,7 @@
 """Queries against brute force over whole inputs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import graph
 from quillspark.plans import catalogue
@@ -39,3 +40,9 @@ def test_shared_key_rounds(spark):
     seen = graph.expand_shared(member, spark.createDataFrame([(1,)], "node long"), 5)
     assert {(r.node, r.round) for r in seen.collect()} == {(1, 0), (2, 1), (3, 1), (4, 2)}
     assert {(r.node, r.n) for r in graph.neighbour_counts(member, 2).collect()} == {(1, 2), (2, 2), (3, 2), (4, 1)}
+
+
+def test_long_chain_is_not_a_cycle(spark):
+    chain = spark.range(140).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    ring = spark.createDataFrame([(1000, 1001), (1001, 1000)], "src long, dst long")
+    assert {r.node for r in graph.on_cycle(chain.unionByName(ring).coalesce(1)).collect()} == {1000, 1001}
