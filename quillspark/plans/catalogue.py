@@ -192,8 +192,8 @@ def q_crossmark(spark, sf):
 _READY = "coalesce(l.quality = 1 AND l.toxic = 0 AND d.n_chars >= 1000, false)"
 
 
-def _ready(spark, sf):
-    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
+def _ready(spark, sf, *more):
+    d = read(spark, sf, "documents").select("*", *more).join(read(spark, sf, "labels"), "doc_id", "left")
     status = F.when(F.col("n_chars") < 1000, "correction").otherwise("unknown")
     return d.withColumn("ready", policy.citation_ready(F.col("quality") == 1, F.lit(0), F.col("toxic") == 1, status, F.col("quality").isNotNull()))
 
@@ -206,9 +206,18 @@ def q_citation_ready(spark, sf):
 @query(f"""WITH r AS (SELECT d.doc_id, {_READY} AS ready, 2000 + n_chars % 25 AS year FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT doc_id, row_number() OVER (ORDER BY ready DESC, year DESC, doc_id) AS position FROM r ORDER BY position LIMIT 200""")
 def q_result_order(spark, sf):
-    """The head of the result list, a report; positions of the whole list would need one global order."""
-    top = _ready(spark, sf).select("doc_id", "ready", (F.lit(2000) + F.col("n_chars") % 25).alias("year")).orderBy(F.col("ready").desc(), F.col("year").desc(), "doc_id").limit(200)
-    return top.select("doc_id", F.row_number().over(Window.orderBy(F.col("ready").desc(), F.col("year").desc(), "doc_id")).cast("long").alias("position"))
+    """Positions of all documents: not ready last, later years first, then normalised titles, then order of arrival.
+
+    Rows are dealt by ranges of these keys and numbered in each range, after the counts of the ranges before it."""
+    title = F.coalesce(text.normalize_title(F.substring("text", 1, 80)), F.lit("")).alias("title")
+    keys = [F.col("ready").desc(), F.col("year").desc(), F.col("title").asc(), F.col("doc_id").asc()]
+    rows = _ready(spark, sf, title).select("doc_id", "ready", F.coalesce(F.lit(2000) + F.col("n_chars") % 25, F.lit(0)).alias("year"), "title")  # titles are taken before the join, which then moves no texts
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = saved(rows.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*keys)).cast("long")
+    return rows.withColumn("at", at).join(F.broadcast(before), "part").select("doc_id", (F.col("at") + F.col("before")).alias("position"))
 
 
 @query("""WITH o AS (SELECT sha256(lower(substr(text, 1, 40))) AS rec, source, doc_id, lower(text) AS v, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 3 END AS p FROM documents),

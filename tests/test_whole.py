@@ -46,3 +46,13 @@ def test_long_chain_is_not_a_cycle(spark):
     chain = spark.range(140).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     ring = spark.createDataFrame([(1000, 1001), (1001, 1000)], "src long, dst long")
     assert {r.node for r in graph.on_cycle(chain.unionByName(ring).coalesce(1)).collect()} == {1000, 1001}
+
+
+def test_result_order_has_all_rows(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    title = catalogue.text.normalize_title(F.substring("text", 1, 80))
+    rows = catalogue._ready(spark, sf).select("doc_id", "ready", "n_chars", title.alias("title")).collect()
+    want = [r.doc_id for r in sorted(rows, key=lambda r: (not r.ready, -(2000 + r.n_chars % 25), r.title, r.doc_id))]
+    got = catalogue.q_result_order(spark, sf).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in got) == list(range(1, len(want) + 1))
