@@ -88,7 +88,7 @@ _TITLE = r"trim(regexp_replace(array_to_string(list_transform(string_split(repla
 
 @query(f"SELECT doc_id, {_TITLE.format('substr(text, 1, 120)')} AS title FROM documents")
 def q_norm_title(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 120)).alias("title"))
+    return read(spark, sf, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"))
 
 
 def _records(spark, sf, chars=80, modulus=700):
@@ -127,9 +127,12 @@ def q_merge_fields(spark, sf):
 
 @query()
 def q_similarity(spark, sf):
-    r = _records(spark, sf, 200).withColumn("block", F.substring("norm", 1, 24))
-    first = r.groupBy("block").agg(F.min(F.struct("seq", "title")).alias("f"))
-    return r.join(first, "block").where(F.col("seq") != F.col("f.seq")).select("seq", F.col("f.seq").alias("first_seq"), F.round(text.title_similarity(F.col("f.title"), F.col("title")), 6).alias("similarity"))
+    """Each record's title against that of the record its merge cluster already holds."""
+    records = _records(spark, sf)
+    r = saved(records.select("seq", "title").join(resolve.clusters(records), "seq"), "clustered")
+    first = r.where("seq = cluster").select("cluster", F.col("title").alias("first_title"))
+    pairs = r.where("seq <> cluster").join(first, "cluster").repartition("seq")  # by records, so that a large cluster is not one task
+    return pairs.select("seq", F.col("cluster").alias("first_seq"), F.round(text.title_similarity(F.col("first_title"), F.col("title")), 6).alias("similarity"))
 
 
 _ENT = "regexp_replace({0}, '<[^>]+>', ' ', 'g')"
@@ -224,8 +227,10 @@ def q_result_order(spark, sf):
 k AS (SELECT rec, doc_id, row_number() OVER (PARTITION BY rec ORDER BY p, source, doc_id) AS k, count(DISTINCT v) OVER (PARTITION BY rec) AS d, count(*) OVER (PARTITION BY rec) AS n FROM o)
 SELECT rec, doc_id AS chosen, n - 1 AS alternatives, d > 1 AS conflict FROM k WHERE k = 1""")
 def q_provenance(spark, sf):
+    """Of each merge cluster (``rec``), the document of the first source; a conflict is more than one text."""
     rank = F.when(F.col("source") == "src0", 0).when(F.col("source") == "src1", 1).when(F.col("source") == "src2", 2).otherwise(3)
-    o = read(spark, sf, "documents").select(F.sha2(F.lower(F.substring("text", 1, 40)), 256).alias("rec"), F.struct(rank.alias("p"), "source", "doc_id").alias("o"), F.xxhash64(F.lower("text")).alias("v"))
+    o = read(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.struct(rank.alias("p"), "source", "doc_id").alias("o"), F.xxhash64(F.lower("text")).alias("v"))
+    o = o.join(resolve.clusters(_records(spark, sf)), "seq").withColumnRenamed("cluster", "rec")
     return o.groupBy("rec").agg(F.min("o").alias("o"), F.count("*").alias("n"), (F.min("v") != F.max("v")).alias("conflict")).select("rec", F.col("o.doc_id").alias("chosen"), (F.col("n") - 1).alias("alternatives"), "conflict")
 
 

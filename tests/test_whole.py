@@ -1,5 +1,7 @@
 """Queries against brute force over whole inputs."""
 
+import difflib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,23 @@ def test_result_order_has_all_rows(spark):
     got = catalogue.q_result_order(spark, sf).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want
     assert sorted(r.position for r in got) == list(range(1, len(want) + 1))
+
+
+def test_titles_are_whole(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.title for r in catalogue.q_norm_title(spark, SF).collect()}
+    assert got == {d: catalogue.text._title(t) for d, t in rows.items()}
+
+
+def test_records_of_a_cluster_meet(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    cluster = {r.seq: r.cluster for r in catalogue.q_merge_exact(spark, SF).collect()}
+    groups = {}
+    for d, c in cluster.items():
+        groups.setdefault(c, []).append(docs[d])
+    rank = {"src0": 0, "src1": 1, "src2": 2}
+    want = {(c, min(g, key=lambda r: (rank.get(r.source, 3), r.source, r.doc_id)).doc_id, len(g) - 1, len({r.text.lower() for r in g}) > 1) for c, g in groups.items()}
+    assert {tuple(r) for r in catalogue.q_provenance(spark, SF).collect()} == want
+    title = lambda d: catalogue.text._title(docs[d].text[:80])
+    same = {(d, c, round(difflib.SequenceMatcher(None, title(c), title(d)).ratio(), 6)) for d, c in cluster.items() if d != c}
+    assert {tuple(r) for r in catalogue.q_similarity(spark, SF).collect()} == same
