@@ -1,12 +1,15 @@
 """Operator 3, suffix-array deduplication: bytes covered by a string of ``LENGTH`` bytes that also starts elsewhere.
 
-1. Every window of LENGTH bytes has an anchor, the K-byte gram of least hash in it. Equal windows have equal anchors at
-   equal places, so only anchors that occur again matter, and the windows of an anchor lie in one short context.
+Shorter repetitions are reported beside, not removed: bytes covered by a string of ``PASSAGE`` bytes that also starts elsewhere.
+
+1. Every window of PASSAGE bytes has an anchor, the K-byte gram of least hash in it. Equal windows have equal anchors at
+   equal places, so only anchors that occur again matter. The windows of an anchor, each lengthened to LENGTH bytes as far
+   as the text goes, lie in one short context.
 2. Equal contexts are counted and kept once. Contexts meet by anchor in shards of bounded size; the contexts of an anchor
    with more than ``SPLIT`` occurrences are salted over several shards.
 3. In each shard the contexts' suffix array is built by Larsson-Sadakane refinement (groups of equal prefixes are
    sorted again by the ranks twice as far on), Kasai's algorithm gives the common prefixes of neighbours, and windows
-   whose neighbours share LENGTH bytes repeat.
+   whose neighbours share LENGTH (or PASSAGE) bytes repeat.
 4. Of split anchors, each shard publishes one head (a 128-bit digest) of each class of equal windows; shards are merged by
    binary search among the sorted heads.
 5. What is found for contexts is carried to every text that has them, and each text drops the union of its repeated windows.
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, partitions, texts, written
 
-LENGTH, K = 400, 128
-SPAN = LENGTH - K + 1
+LENGTH, PASSAGE, K = 400, 256, 64
+SPAN = PASSAGE - K + 1
 #: Bytes of contexts in a shard, about; occurrences of an anchor that go to one shard.
-SHARD, SPLIT = 2 << 20, 1500
+SHARD, SPLIT = 512 << 10, 1500
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64)
 _ODD = _rng.integers(0, 1 << 62, 8, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,7 +43,7 @@ _ODD = _rng.integers(0, 1 << 62, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all windows, and the first and last start of the windows of each."""
     none = np.zeros(0, np.int64)
-    if len(data) < LENGTH:
+    if len(data) < PASSAGE:
         return none, none, none, none
     h, width, level = _BYTE[data], 1, 0
     while width < K:
@@ -63,47 +66,56 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Larsson-Sadakane: starts of the suffixes in order. codes: small integers, of which 0 separates."""
+    """Larsson-Sadakane: starts of the suffixes in order. codes: small integers, of which 0 separates.
+
+    Groups of suffixes that share a prefix are sorted again by the ranks of what follows the prefix, once and, where three ranks fit
+    into a key, twice as far on; those alone in their group are done."""
     n = len(codes)
-    wide = np.r_[codes.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)]  # 0: past the end
+    found = np.bincount(codes)
+    dense = np.cumsum(found > 0).astype(np.uint64)  # symbols by order; 0 is past the end
+    width = int(dense[-1]).bit_length()
+    h = 62 // width
+    wide = np.r_[dense[codes], np.zeros(h, np.uint64)]
     key = np.zeros(n, np.uint64)
-    for i in range(7):
-        key = (key << np.uint64(9)) | wide[i : i + n]
-    sa = np.argsort(key, kind="stable")
-    new = np.r_[True, key[sa][1:] != key[sa][:-1]]
-    rank = np.empty(n, np.int64)
+    for i in range(h):
+        key = (key << np.uint64(width)) | wide[i : i + n]
+    sa = np.argsort(key)
+    key = key[sa]
+    new = np.r_[True, key[1:] != key[:-1]]
+    bits = n.bit_length() + 1
+    further = 2 if 3 * bits <= 63 else 1
+    rank = np.full(n + 1, -1, np.int64)  # the last one: past the end
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # of the group of each place
     rank[sa] = start
-    single = new & np.r_[new[1:], True]
-    place = np.flatnonzero(~single)  # places in groups that are not sorted yet
-    h = 7
+    place = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in groups that are not sorted yet
     while len(place):
-        suffix, group = sa[place], start[place]
-        after = suffix + h
-        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1) + 1
-        order = np.argsort((group << 32) | second, kind="stable")
-        suffix, second = suffix[order], second[order]
+        suffix = sa[place]
+        key = start[place]
+        for k in range(1, further + 1):
+            key = (key << bits) | (rank[np.minimum(suffix + k * h, n)] + 1)
+        order = np.argsort(key)
+        suffix, key = suffix[order], key[order]
         sa[place] = suffix
-        edge = np.r_[True, (group[1:] != group[:-1]) | (second[1:] != second[:-1])]
+        edge = np.r_[True, key[1:] != key[:-1]]
         begin = place[np.maximum.accumulate(np.where(edge, np.arange(len(place)), 0))]
         start[place] = begin
         rank[suffix] = begin
-        alone = edge & np.r_[edge[1:], True]
-        place = place[~alone]
-        h *= 2
+        place = place[~(edge & np.r_[edge[1:], True])]
+        h *= further + 1
     return sa
 
 
-def common_prefixes(codes: np.ndarray, sa: np.ndarray, cap: int = LENGTH, lanes: int = 4096) -> np.ndarray:
-    """Kasai: for each place, the symbols its suffix shares with the one before it, at most ``cap``. The text is cut into lanes that advance together."""
-    n = len(codes)
-    wide = np.r_[codes.astype(np.uint16), np.full(cap + 8, 0xFFFF, np.uint16)]
-    four = wide[:-3].astype(np.uint64)
-    for i in range(1, 4):
-        four |= wide[i : len(wide) - 3 + i].astype(np.uint64) << np.uint64(16 * i)
+def common_prefixes(data: np.ndarray, left: np.ndarray, sa: np.ndarray, cap: int = LENGTH, lanes: int = 8192) -> np.ndarray:
+    """Kasai: for each place, the bytes its suffix shares with the one before it, at most ``cap`` and not beyond the context's end, ``left`` bytes away. The text is cut into lanes that advance together."""
+    n = len(data)
+    wide = np.r_[data, np.zeros(cap + 8, np.uint8)].astype(np.uint64)
+    for i in (1, 2, 4):  # eight bytes from each place on
+        wide = wide[:-i] | (wide[i:] << np.uint64(8 * i))
     rank = np.empty(n, np.int64)
     rank[sa] = np.arange(n)
-    before = np.where(rank > 0, sa[rank - 1], -1)
+    before = np.full(n, -1)
+    before[sa[1:]] = sa[:-1]
+    most = np.where(before >= 0, np.minimum(np.minimum(left, left[before]), cap), 0)
     lanes = max(1, min(lanes, n // 64))
     step = -(-n // lanes)
     at = np.arange(lanes) * step
@@ -111,42 +123,43 @@ def common_prefixes(codes: np.ndarray, sa: np.ndarray, cap: int = LENGTH, lanes:
     h = np.zeros(lanes, np.int64)
     out = np.zeros(n, np.int32)
     for _ in range(step):
-        live = np.flatnonzero((at < end) & (before[np.minimum(at, n - 1)] >= 0))
-        open_ = live
+        live = np.flatnonzero(at < end)
+        i = at[live]
+        j, top, k = before[i], most[i], np.minimum(h[live], most[i])
+        open_ = np.flatnonzero(k < top)
         while len(open_):
-            i, k = at[open_], h[open_]
-            j = before[i]
-            low = np.minimum(i, j) + k
-            off = np.maximum(i, j) + k
-            ok = (k < cap) & (off < n)
-            open_, low, off = open_[ok], low[ok], off[ok]
-            x = four[low] ^ four[off]
-            same = np.where(x == 0, 4, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 4)
-            h[open_] = np.minimum(np.minimum(h[open_] + same, cap), n - np.maximum(at[open_], before[at[open_]]))
-            open_ = open_[same == 4]
-        out[rank[at[live]]] = h[live]
-        h = np.maximum(h - 1, 0)
-        h[(before[np.minimum(at, n - 1)] < 0)] = 0
+            x = wide[i[open_] + k[open_]] ^ wide[j[open_] + k[open_]]
+            same = np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+            k[open_] += same
+            open_ = open_[(same == 8) & (k[open_] < top[open_])]
+        k = np.minimum(k, top)
+        out[rank[i]] = k
+        h[live] = np.maximum(k - 1, 0)
         at = at + 1
     return out
 
 
-def window_classes(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of a shard's contexts, by context and start: context, start, class; equal windows have equal classes."""
+def window_classes(contexts: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``counts`` windows of each of a shard's contexts: context, start, class by PASSAGE bytes and by LENGTH bytes (-1: the context ends before).
+
+    Equal windows have equal classes."""
     sizes = np.array([len(c) for c in contexts], np.int64)
-    codes = np.zeros(int(sizes.sum()) + len(contexts), np.uint16)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    inside = np.ones(len(codes), bool)
-    inside[begin + sizes] = False
-    codes[inside] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.uint16) + 1
+    data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+    codes = data.astype(np.uint16) + np.uint16(1)
+    codes[begin + sizes] = 0
+    left = np.repeat(begin + sizes, sizes + 1) - np.arange(len(codes))
     sa = suffix_array(codes)
-    cls_of_place = np.cumsum(common_prefixes(codes, sa) < LENGTH)
-    cls = np.empty(len(codes), np.int64)
-    cls[sa] = cls_of_place
-    count = sizes - LENGTH + 1
+    shared = common_prefixes(data, left, sa)
+    count = np.array(counts, np.int64)
     owner = np.repeat(np.arange(len(contexts)), count)
     start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return owner, start, cls[begin[owner] + start]
+    at = begin[owner] + start
+    cls = np.empty(len(codes), np.int64)
+    cls[sa] = np.cumsum(shared < PASSAGE)
+    short = cls[at]
+    cls[sa] = np.cumsum(shared < LENGTH)
+    return owner, start, short, np.where(left[at] >= LENGTH, cls[at], -1)
 
 
 def _digest(b: bytes | memoryview) -> tuple[int, int]:
@@ -174,20 +187,24 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             many = {w["at"]: w["n"] for w in want}
             for at, k, s, e in zip(*(x.tolist() for x in anchors(np.frombuffer(raw, np.uint8))), strict=True):
                 if at in many:
-                    ctx = raw[s : e + LENGTH]
-                    c = _digest(ctx)
-                    out.append((k, many[at], *c, None if c in sent else ctx, t1, t2, s))
+                    ctx, m = raw[s : e + LENGTH], e - s + 1
+                    c = _digest(ctx + m.to_bytes(4, "little"))
+                    out.append((k, many[at], *c, None if c in sent else ctx, m, t1, t2, s))
                     sent.add(c)
-        cols = list(zip(*out, strict=True)) if out else [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2 + [pa.int32()], strict=True)], ["k", "n", "c1", "c2", "ctx", "t1", "t2", "s"])
+        cols = list(zip(*out, strict=True)) if out else [()] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.binary(), pa.int32()] + [pa.int64()] * 2 + [pa.int32()], strict=True)], ["k", "n", "c1", "c2", "ctx", "m", "t1", "t2", "s"])
 
 
 def _packed(*columns: np.ndarray) -> bytes:
     return np.column_stack([c.astype(np.int64) for c in columns]).tobytes()
 
 
+def _bits(short: np.ndarray, long: np.ndarray) -> bytes:
+    return np.packbits(np.concatenate([short, long])).tobytes()
+
+
 def _shard_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each context the bits of its repeated windows; and heads of split anchors, packed by the part that merges them. Rows come sorted by anchor and salt."""
+    """Of each context the bits of its repeated windows, by PASSAGE and then by LENGTH; and heads of split anchors, packed by the part that merges them. Rows come sorted by anchor and salt."""
     names, kinds = ["c1", "c2", "bits", "part", "heads"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
@@ -195,35 +212,37 @@ def _shard_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     def shard(rows: list[tuple]) -> list[tuple]:
-        owner, start, cls = window_classes([r[4] for r in rows])
-        times = np.array([r[5] for r in rows])[owner]
-        total = np.bincount(cls, times)[cls]
-        ends = np.cumsum([len(r[4]) - LENGTH + 1 for r in rows])
+        owner, start, short, long = window_classes([r[4] for r in rows], [r[5] for r in rows])
+        times = np.array([r[6] for r in rows])[owner]
+        ends = np.cumsum([r[5] for r in rows]).tolist()
+        totals = [np.bincount(short, times)[short], np.where(long >= 0, np.bincount(np.maximum(long, 0), np.where(long >= 0, times, 0))[long], 0)]
         out = []
-        for r, e in zip(rows, ends.tolist(), strict=True):
-            bits = total[e - (len(r[4]) - LENGTH + 1) : e] >= 2
-            if bits.any():
-                out.append((r[2], r[3], np.packbits(bits).tobytes(), None, None))
-        pick = np.flatnonzero(np.array([r[6] for r in rows])[owner])
-        if len(pick):
+        for r, e in zip(rows, ends, strict=True):
+            found = [t[e - r[5] : e] >= 2 for t in totals]
+            if found[0].any():
+                out.append((r[2], r[3], _bits(*found), None, None))
+        asked = np.array([r[7] for r in rows])[owner]
+        for kind, (cls, size) in enumerate(((short, PASSAGE), (long, LENGTH))):
+            pick = np.flatnonzero(asked & (cls >= 0))
+            if not len(pick):
+                continue
             _, head = np.unique(cls[pick], return_index=True)
             head = pick[head]
             at = [(rows[o], s) for o, s in zip(owner[head].tolist(), start[head].tolist(), strict=True)]
-            d = np.array([_digest(memoryview(r[4])[s : s + LENGTH]) for r, s in at], np.int64)
+            d = np.array([_digest(memoryview(r[4])[s : s + size]) for r, s in at], np.int64)
             c = np.array([r[2:4] for r, _ in at], np.int64)
-            n = np.minimum(total[head], 2)
+            n = np.minimum(totals[kind][head], 2)
             to = d[:, 0] % parts
             order = np.argsort(to, kind="stable")
             for k in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                out.append((None, None, None, int(to[k[0]]), _packed(d[k, 0], d[k, 1], c[k, 0], c[k, 1], start[head[k]], n[k])))
+                out.append((None, None, None, int(to[k[0]]), _packed(d[k, 0], d[k, 1], c[k, 0], c[k, 1], 2 * start[head[k]] + kind, n[k])))
         return out
 
     def anchor(rows: list[tuple]) -> list[tuple] | None:
         """Of contexts of one anchor that need no suffix array: each is a copy of another, and no other shard asks."""
-        if all(r[5] > 1 and not r[6] for r in rows):
-            ones = [np.packbits(np.ones(len(r[4]) - LENGTH + 1, bool)).tobytes() for r in rows]
-            return [(r[2], r[3], o, None, None) for r, o in zip(rows, ones, strict=True)]
-        return [] if len(rows) == 1 and not rows[0][6] else None
+        if all(r[6] > 1 and not r[7] for r in rows):
+            return [(r[2], r[3], _bits(np.ones(r[5], bool), np.arange(r[5]) + LENGTH <= len(r[4])), None, None) for r in rows]
+        return [] if len(rows) == 1 and not rows[0][7] else None
 
     rows: list[tuple] = []  # of the shard
     same: list[tuple] = []  # of the anchor
@@ -240,7 +259,7 @@ def _shard_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         same.clear()
 
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("k", "salt", "c1", "c2", "ctx", "n", "split")), strict=True):
+        for r in zip(*(b.column(c).to_pylist() for c in ("k", "salt", "c1", "c2", "ctx", "m", "n", "split")), strict=True):
             if same and same[0][:2] != r[:2]:
                 close()
                 if size >= SHARD:
@@ -279,6 +298,16 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield merged(held)
 
 
+def _spans(n: int, length: int, starts: list[np.ndarray]) -> list[dict]:
+    """Maximal runs of bytes covered by windows of ``length`` bytes; each array has distinct starts."""
+    edge = np.zeros(n + 1, np.int64)
+    for p in starts:
+        edge[p] += 1
+        edge[p + length] -= 1
+    turn = np.diff(np.r_[0, np.cumsum(edge[:-1]) > 0, 0].astype(np.int8))
+    return [{"start": s, "end": e} for s, e in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)]
+
+
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     for b in batches:
@@ -286,28 +315,24 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, copies, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "copies", "found")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             n = len(raw)
-            spans: list[dict] = []
-            if (copies or 1) > 1 and n >= LENGTH:
-                spans = [{"start": 0, "end": n}]
-            elif found:
-                edge = np.zeros(n + 1, np.int64)
-                for f in found:
-                    starts = [f["s"] + np.flatnonzero(np.unpackbits(np.frombuffer(f["bits"], np.uint8)))] if f["bits"] else []
-                    starts.append(f["s"] + np.array(f["os"] or [], np.int64))
-                    p = np.unique(np.concatenate(starts))
-                    np.add.at(edge, p, 1)
-                    np.add.at(edge, p + LENGTH, -1)
-                gone = np.r_[0, np.cumsum(edge[:-1]) > 0, 0].astype(np.int8)
-                turn = np.diff(gone)
-                spans = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)]
+            if (copies or 1) > 1:
+                passages, spans = ([{"start": 0, "end": n}] if n >= size else [] for size in (PASSAGE, LENGTH))
+            else:
+                starts: tuple[list, list] = ([], [])
+                for f in found or []:
+                    bits = np.unpackbits(np.frombuffer(f["bits"] or b"", np.uint8), count=2 * f["m"] if f["bits"] else 0).reshape(2, -1)
+                    os = np.array(f["os"] or [], np.int64)
+                    for kind in (0, 1):
+                        starts[kind].append(f["s"] + np.union1d(np.flatnonzero(bits[kind]), os[os % 2 == kind] // 2).astype(np.int64))
+                passages, spans = _spans(n, PASSAGE, starts[0]), _spans(n, LENGTH, starts[1])
             ends = [0, *(x for s in spans for x in (s["start"], s["end"])), n]
-            out.append((doc_id, n, spans, b"".join(raw[a:e] for a, e in zip(ends[::2], ends[1::2], strict=True))))
-        cols = list(zip(*out, strict=True)) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.list_(span), pa.binary()], strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
+            out.append((doc_id, n, spans, passages, b"".join(raw[a:e] for a, e in zip(ends[::2], ends[1::2], strict=True))))
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.list_(span), pa.list_(span), pa.binary()], strict=True)], ["doc_id", "n_bytes", "spans", "passages", "kept"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``spans`` (maximal removed runs of bytes) and ``kept`` (the other bytes) of every whole text."""
+    """``doc_id``, ``n_bytes``, ``spans`` (maximal removed runs of bytes), ``passages`` (maximal runs that repeat by PASSAGE bytes) and ``kept`` (the bytes outside the spans) of every whole text."""
     spark = docs.sparkSession
     bound_batches(spark)
     n = partitions(spark)
@@ -318,17 +343,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     again = written(each.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "repeated")  # a table, so that Spark can split the join of a frequent anchor
     want = each.join(again, "k").groupBy("t1", "t2", "doc_id").agg(F.collect_list(F.struct("at", "n")).alias("want"))
     one = rows.alias("r").join(want.alias("w"), (F.col("r.t1") == F.col("w.t1")) & (F.col("r.t2") == F.col("w.t2")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))).select("r.t1", "r.t2", "r.text", "w.want")
-    contexts = written(one.mapInArrow(_context_rows, "k long, n long, c1 long, c2 long, ctx binary, t1 long, t2 long, s int"), "contexts")
+    contexts = written(one.mapInArrow(_context_rows, "k long, n long, c1 long, c2 long, ctx binary, m int, t1 long, t2 long, s int"), "contexts")
     shards = F.ceil(F.max("n") / SPLIT)
-    distinct = contexts.groupBy("k", "c1", "c2").agg(F.first("ctx", ignorenulls=True).alias("ctx"), F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), shards.alias("shards"))
-    distinct = distinct.select("k", F.pmod("c1", "shards").alias("salt"), "c1", "c2", "ctx", "n", (F.col("shards") > 1).alias("split"))
+    distinct = contexts.groupBy("k", "c1", "c2").agg(F.first("ctx", ignorenulls=True).alias("ctx"), F.first("m").alias("m"), F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), shards.alias("shards"))
+    distinct = distinct.select("k", F.pmod("c1", "shards").alias("salt"), "c1", "c2", "ctx", "m", "n", (F.col("shards") > 1).alias("split"))
     parts = 8 * n
     found = written(distinct.repartition(n, "k", "salt").sortWithinPartitions("k", "salt").mapInArrow(partial(_shard_rows, parts), "c1 long, c2 long, bits binary, part int, heads binary"), "windows")
     heads = found.where("part is not null").select("part", "heads").repartition(n, "part").sortWithinPartitions("part")
     across = heads.mapInArrow(_merge_rows, "c1 long, c2 long, os array<int>")
     of_context = found.where("bits is not null").select("c1", "c2", "bits", F.lit(None).cast("array<int>").alias("os")).unionByName(across.select("c1", "c2", F.lit(None).cast("binary").alias("bits"), "os"))
     of_context = written(of_context.groupBy("c1", "c2").agg(F.max("bits").alias("bits"), F.flatten(F.collect_list("os")).alias("os")), "of-context")
-    places = contexts.select("c1", "c2", "t1", "t2", "s").join(of_context, ["c1", "c2"])
-    of_place = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "bits", "os")).alias("found"))
+    places = contexts.select("c1", "c2", "t1", "t2", "s", "m").join(of_context, ["c1", "c2"])
+    of_place = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "m", "bits", "os")).alias("found"))
     known = written(of_text.where("copies > 1").select("t1", "t2", "copies").join(of_place, ["t1", "t2"], "full"), "of-text")
-    return rows.join(known, ["t1", "t2"], "left").select("doc_id", "text", "copies", "found").mapInArrow(_kept_rows, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return rows.join(known, ["t1", "t2"], "left").select("doc_id", "text", "copies", "found").mapInArrow(_kept_rows, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, passages array<struct<start:long,end:long>>, kept binary")
