@@ -2,8 +2,12 @@
 
 The terms of a text are its runs of ``SHINGLE`` lower-case words, weighted by how often each occurs (a shorter text is
 one term). Each of ``SAMPLES`` samples draws for a term r and c from Gamma(2, 1) and b uniformly, all functions of the
-term and sample alone; with t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r, the term of least a and its t are
-the sample. Two texts agree in a sample with the probability of their generalised Jaccard similarity.
+hash of that term and sample alone; with t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r, the term of least a and
+its t are the sample. Two texts agree in a sample with the probability of their generalised Jaccard similarity.
+
+The draws come from three independent exponentials A, G and E: c = A + G and A / c, a uniform, are independent, so with
+x = ln(c / A), also exponential, r = x + E and b = E / r have the distributions above. At weight 1 a is A itself, whose
+order is that of the hash it is drawn from, so only repeated terms and each sample's least hash need logarithms.
 
 Null text counts as empty; texts without words are alike (1) among themselves and unlike (0) all others. Rows with equal
 doc_id follow each other by their text; null doc_ids come last. Equal rows all stay; a table of one row is its own
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, partitions, texts
 
 SAMPLES, SHINGLE = 128, 5
-_BITS, _ROWS = 16, 2048
+_ROWS = 512
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def lowered(text: str) -> str:
@@ -39,17 +44,41 @@ class _Words(dict):
         return h
 
 
+def _exponential(h: np.ndarray) -> np.ndarray:
+    """Exponential draws in the order of the hashes that make them."""
+    return -np.log1p(-(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53))
+
+
+def _again(h: np.ndarray, salt: int) -> np.ndarray:
+    """Further independent hashes of a hash."""
+    x = (h ^ np.uint64(salt)) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
 class Sampler:
     def __init__(self, samples: int = SAMPLES, seed: int = 20240229):
         rng = np.random.default_rng(seed)
-        self.factor = rng.integers(1, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
-        n = 1 << _BITS  # draws by the leading bits of the term's hash times the sample's factor
-        self.r, c, self.b = rng.gamma(2, 1, n), rng.gamma(2, 1, n), rng.random(n)
-        self.lnc = np.log(c)
-        self.once = (self.lnc + self.r * self.b - self.r).astype(np.float32)  # ln a of weight 1, where t is 0
+        self.salt = rng.integers(0, 1 << 63, (samples, 1), np.uint64)
+        self.factor = rng.integers(1, 1 << 63, (samples, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         self.power = rng.integers(1, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
         self.word = _Words()
 
+    def hashes(self, terms: np.ndarray) -> np.ndarray:
+        """A hash of each sample (row) and term (column)."""
+        x = self.salt ^ terms
+        x *= self.factor
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+        return x
+
+    def draws(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, ln c and b by these hashes."""
+        a, g, e = _exponential(h), _exponential(_again(h, 0x9E3779B97F4A7C15)), _exponential(_again(h, 0xC2B2AE3D27D4EB4F))
+        c = a + g
+        r = np.log(c / a) + e
+        return r, np.log(c), e / r
+
     def words(self, text: str) -> np.ndarray:
         words = lowered(text).split()
         return np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
@@ -86,30 +115,27 @@ class Sampler:
         n = len(self.factor)
         if not len(terms):
             return np.zeros(n, np.uint16)
-        best, who, level = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        once = terms[weight == 1]
+        least, who = np.full(n, np.iinfo(np.uint64).max, np.uint64), np.zeros(n, np.uint64)
         each = np.arange(n)
-        for s in range(0, len(terms), _ROWS):
-            h, w = terms[s : s + _ROWS], weight[s : s + _ROWS]
-            at = self.factor[:, None] * h[None, :]
-            at >>= np.uint64(64 - _BITS)
-            at = at.view(np.int64)
-            lna = self.once.take(at, mode="clip")
-            many = np.flatnonzero(w > 1)
-            if len(many):
-                draw = at[:, many]
-                r, b = self.r[draw], self.b[draw]
-                t = np.floor(np.log(w[many])[None, :] / r + b)
-                lna[:, many] = self.lnc[draw] - r * (t - b) - r
-            least = lna.argmin(axis=1)  # of equals the smallest hash
-            value = lna[each, least]
-            better = np.flatnonzero(value < best)
-            best[better], who[better], level[better] = value[better], h[least[better]], 0
-            if len(many):
-                place = np.full(len(h), -1)
-                place[many] = np.arange(len(many))
-                sub = better[place[least[better]] >= 0]
-                level[sub] = t[sub, place[least[sub]]].astype(np.int64)
-        x = (who ^ level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        for s in range(0, len(once), _ROWS):
+            h = self.hashes(once[s : s + _ROWS])
+            at = h.argmin(axis=1)  # of equals the smallest term
+            value = h[each, at]
+            better = value < least
+            least[better], who[better] = value[better], once[s + at[better]]
+        best, level = np.log(_exponential(least)) if len(once) else np.full(n, np.inf), np.zeros(n, np.int64)
+        many = np.flatnonzero(weight > 1)
+        for s in range(0, len(many), _ROWS):
+            h, w = terms[many[s : s + _ROWS]], weight[many[s : s + _ROWS]]
+            r, lnc, b = self.draws(self.hashes(h))
+            t = np.floor(np.log(w)[None, :] / r + b)
+            lna = lnc - r * (t - b) - r
+            at = lna.argmin(axis=1)
+            value = lna[each, at]
+            better = value < best
+            best[better], who[better], level[better] = value[better], h[at[better]], t[each, at][better].astype(np.int64)
+        x = (who ^ level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * _MIX
         return (x >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
