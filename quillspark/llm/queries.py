@@ -35,17 +35,33 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: White space of a text, as a class of a regular expression.
+_W = " \\t\\n\\x0b\\x0c\\r"
 SQL_OP4 = f"""
-WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT doc_id, text, regexp_extract_all(text, '{spans.SENTENCE}') AS u FROM d),
-n AS (SELECT doc_id, text, u, list_transform(u, lambda x: lower(trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g')))) AS v FROM u),
-p AS (SELECT doc_id, text, u, v, unnest(range(0, greatest(len(u) - {spans.RUN}, 0) + 1)) AS pos FROM n WHERE len(u) > 0),
-r AS (SELECT doc_id, text, pos, array_to_string(list_slice(v, pos + 1, pos + {spans.RUN}), ' ') AS run FROM p),
-s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM r WHERE length(run) >= {spans.LEAST}),
-g AS (SELECT doc_id, text, list_distinct(flatten(list(range(pos, pos + {spans.RUN})))) AS gone FROM s WHERE k > 1 GROUP BY doc_id, text),
-f AS (SELECT documents.doc_id, u.u, list_filter(list_transform(range(0, len(u.u)), lambda i: CASE WHEN coalesce(list_contains(g.gone, i), false) THEN NULL ELSE u.u[i + 1] END), lambda x: x IS NOT NULL) AS kept
-  FROM documents JOIN u ON u.doc_id = documents.doc_id AND u.text = coalesce(documents.text, '') LEFT JOIN g ON g.doc_id = u.doc_id AND g.text = u.text)
-SELECT doc_id, len(u) AS n_sentences, len(u) - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ''), '')) AS kept_sha256 FROM f"""
+WITH d AS MATERIALIZED (SELECT *, row_number() OVER () AS d FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+e AS (SELECT d, regexp_extract_all(regexp_replace(text, '^[{_W}]+', ''), '[^{_W}]+[{_W}]*') AS ws FROM d),
+w0 AS (SELECT d, unnest(ws) AS piece, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM e),
+w1 AS (SELECT *, lower(regexp_replace(piece, '[{_W}]+$', '')) AS word FROM w0),
+w2 AS (SELECT *, (regexp_matches(word, '[.!?]$') OR regexp_matches(piece, '[\\r\\n]') OR i = n)::INT AS stop FROM w1),
+w3 AS (SELECT *, sum(stop) OVER (PARTITION BY d ORDER BY i) - stop AS s FROM w2),
+w4 AS (SELECT *, count(*) OVER (PARTITION BY d, s) AS size, count(*) OVER f AS width, min(substr(md5(word), 1, 8) || lpad(i::VARCHAR, 12, '0')) OVER f AS least
+  FROM w3 WINDOW f AS (PARTITION BY d, s ORDER BY i ROWS BETWEEN CURRENT ROW AND {spans.WINDOW - 1} FOLLOWING)),
+cuts AS (SELECT DISTINCT d, substr(least, 9)::BIGINT AS i FROM w4 WHERE size > {spans.WORDS} AND width = {spans.WINDOW}),
+w5 AS (SELECT w4.*, (stop = 1 OR cuts.i IS NOT NULL)::INT AS cut FROM w4 LEFT JOIN cuts ON cuts.d = w4.d AND cuts.i = w4.i),
+w6 AS (SELECT *, sum(cut) OVER (PARTITION BY d ORDER BY i)::BIGINT - cut AS u FROM w5),
+u AS MATERIALIZED (SELECT d, u, string_agg(word, ' ' ORDER BY i) AS norm, string_agg(piece, '' ORDER BY i) AS piece FROM w6 GROUP BY d, u),
+a AS (SELECT d, list(norm ORDER BY u) AS v, list(piece ORDER BY u) AS pieces FROM u GROUP BY d),
+p AS (SELECT a.d, u AS pos, list_slice(v, u + 1, u + {spans.LEAST}) AS v, len(v) AS n FROM a JOIN u ON u.d = a.d AND (u + {spans.RUN} <= len(v) OR u = 0)),
+q AS (SELECT d, pos, v, list_filter(range(least({spans.RUN}, n), len(v) + 1), lambda k: length(array_to_string(list_slice(v, 1, k), ' ')) >= {spans.LEAST})[1] AS k FROM p),
+r AS (SELECT q.d, pos, k, array_to_string(list_slice(v, 1, k), ' ') AS run, d.doc_id FROM q JOIN d ON d.d = q.d WHERE k IS NOT NULL),
+x AS (SELECT d, pos, k, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, d, pos) AS place FROM r),
+g AS (SELECT d, list_distinct(flatten(list(range(pos, pos + k)))) AS gone FROM x WHERE place > 1 GROUP BY d),
+f AS (SELECT d.doc_id, d.text, coalesce(len(a.v), 0) AS n_sentences, coalesce(len(g.gone), 0) AS n_removed,
+  CASE WHEN g.gone IS NULL THEN d.text ELSE CASE WHEN list_contains(g.gone, 0) THEN '' ELSE regexp_extract(d.text, '^[{_W}]*') END
+  || array_to_string(list_transform(list_filter(range(0, len(a.v)), lambda i: NOT list_contains(g.gone, i)), lambda i: a.pieces[i + 1]), '') END AS kept
+  FROM d LEFT JOIN a ON a.d = d.d LEFT JOIN g ON g.d = d.d)
+SELECT documents.doc_id, n_sentences, n_removed, sha256(kept) AS kept_sha256
+FROM documents JOIN f ON f.doc_id IS NOT DISTINCT FROM documents.doc_id AND f.text = coalesce(documents.text, '')"""
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

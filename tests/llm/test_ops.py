@@ -1,6 +1,7 @@
 """The ten operators: brute force or a library on small tables, and rows that are null, empty, long or repeated."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -45,14 +46,58 @@ def test_cws(docs, empty):
     assert cws.fingerprints(empty).count() == 0
 
 
+def _weights(text):
+    words = text.split()
+    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
 def test_cws_estimates_weighted_jaccard():
     s = cws.Sampler(4096)
     a, b = "a b c d e f g h a b c d e f g h i j k l", "a b c d e f g h i j k l m n o p"
-    ta, tb = (Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in (a, b))
+    ta, tb = _weights(a), _weights(b)
     true = sum((ta & tb).values()) / sum((ta | tb).values())
     assert abs(cws.likeness(s.signature(s.words(a)), s.signature(s.words(b))) - true) < 0.03
 
 
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_cws_of_long_texts(n):
+    """Texts of 20,000 words: the mean error within three standard errors, spread as of independent samples."""
+    s, rng, errors = cws.Sampler(), np.random.default_rng(n), []
+    for k in range(40):
+        blocks = [[f"{k}-{i}-{j}" for j in range(50)] for i in range(n // 50)]
+        write = lambda bs: " ".join(w for b in bs for w in b * int(rng.integers(1, 4)))  # noqa: B023, E731
+        a, b = write(blocks), write(blocks[: n // 60] + [[w + "x" for w in x] for x in blocks[n // 60 :]])
+        ta, tb = _weights(a), _weights(b)
+        true = sum((ta & tb).values()) / sum((ta | tb).values())
+        errors.append((cws.likeness(s.signature(s.words(a)), s.signature(s.words(b))) - true) / (true * (1 - true) / cws.SAMPLES) ** 0.5)
+    assert abs(np.mean(errors)) < 3 / 40**0.5
+    assert 0.65 < np.std(errors) < 1.45
+
+
+def test_cws_equals_plain_draws():
+    """Every sample by the formula of its draws, one term after another."""
+    s = cws.Sampler()
+    text = "a b c d e f g h " * 3 + " ".join(map(str, range(40)))
+    terms, weights = s.terms(s.words(text))
+    r, lnc, b = s.draws(s.hashes(terms))
+    want = []
+    for k in range(cws.SAMPLES):
+        best = min((lnc[k, i] - r[k, i] * (np.floor(np.log(w) / r[k, i] + b[k, i]) - b[k, i]) - r[k, i], int(h), int(np.floor(np.log(w) / r[k, i] + b[k, i]))) for i, (h, w) in enumerate(zip(terms, weights, strict=True)))
+        x = ((best[1] ^ best[2] * 0x9E3779B97F4A7C15 % (1 << 64)) * int(cws._MIX)) % (1 << 64)
+        want.append(x >> 48 | 1)
+    assert s.signature(s.words(text)).tolist() == want
+
+
+def test_cws_draws_have_their_distributions():
+    h = cws.Sampler(1).hashes(np.random.default_rng(2).integers(0, 1 << 63, 200_000, np.uint64))
+    r, lnc, b = cws.Sampler(1).draws(h)
+    for x, mean, var in ((r, 2, 2), (np.exp(lnc), 2, 2), (b, 0.5, 1 / 12)):
+        assert abs(x.mean() - mean) < 0.02
+        assert abs(x.var() - var) < 0.05
+    for x, y in ((r, lnc), (r, b), (lnc, b)):
+        assert abs(np.corrcoef(x.ravel(), y.ravel())[0, 1]) < 0.01
+
+
 def test_langid(spark, docs, empty):
     en, de = "the house and the garden with this thing", "das haus und der garten mit diesem ding"
     train = spark.createDataFrame([(i, (en if i % 2 else de) + f" {i}", "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
@@ -78,21 +123,42 @@ def test_code_lengths_sum_to_one(spark):
         assert abs(sum(2 ** (bits(context) - bits(context + bytes([c]))) for c in range(256)) - 1) < 1e-3
 
 
-def test_suffix(docs, empty, monkeypatch):
-    raw = [(r[0], (r[1] or "").encode()) for r in ROWS]
-    n = suffix.LENGTH
+def _covered(raw, n):
+    """Of each text the bytes that a string of n bytes covers which also starts elsewhere."""
     seen = Counter(t[i : i + n] for _, t in raw for i in range(len(t) - n + 1))
-    want = Counter()
-    for d, t in raw:
-        gone = np.zeros(len(t) + 1, bool)
+    for _, t in raw:
+        gone = np.zeros(len(t), bool)
         for i in range(len(t) - n + 1):
             gone[i : i + n] |= seen[t[i : i + n]] > 1
-        want[d, len(t), int(gone.sum()), bytes(b for b, g in zip(t, gone) if not g)] += 1
-    got = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in suffix.remove_repeats(docs).collect())
+        yield gone
+
+
+def _check_suffix(rows, found):
+    raw = [(r[0], (r[1] or "").encode()) for r in rows]
+    want = Counter()
+    for (d, t), gone, short in zip(raw, _covered(raw, suffix.LENGTH), _covered(raw, suffix.PASSAGE), strict=True):
+        spans_ = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        want[d, len(t), int(gone.sum()), spans_, bytes(b for b, g in zip(t, gone, strict=True) if not g), int(short.sum())] += 1
+    got = Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept), sum(s.end - s.start for s in r.passages)) for r in found.collect())
     assert got == want
+
+
+def test_suffix(docs, empty):
+    _check_suffix(ROWS, suffix.remove_repeats(docs))
     assert suffix.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("split", [2, 1500])
+def test_suffix_across_shards(spark, monkeypatch, split):
+    """Passages of lengths around the limits between unlike texts; with a split of two, their contexts meet only by merging."""
+    monkeypatch.setattr(suffix, "SPLIT", split)
+    rng = np.random.default_rng(4)
+    prose = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passages = [prose(n) for n in (200, 255, 256, 300, 399, 400, 401, 450, 900)]
+    rows = [(i, prose(int(rng.integers(0, 300))) + "".join(rng.choice(passages, rng.integers(0, 4))) + prose(int(rng.integers(0, 300)))) for i in range(40)]
+    _check_suffix(rows, suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 500):
@@ -100,7 +166,7 @@ def test_suffix_array_and_prefixes():
         plain = codes.tolist()
         sa = suffix.suffix_array(codes)
         assert sa.tolist() == sorted(range(n), key=lambda i: plain[i:])
-        lcp = suffix.common_prefixes(codes, sa, 40, lanes=7)
+        lcp = suffix.common_prefixes(codes.astype(np.uint8), np.arange(n, 0, -1), sa, 40, lanes=7)
         for k in range(1, n):
             a, b = plain[sa[k - 1] :], plain[sa[k] :]
             assert lcp[k] == min(40, next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
@@ -267,8 +333,55 @@ def test_spans_shifted_and_short(spark):
     assert got[4].kept.split() == f"{words('e', 4)}. {words('f', 4)}.".split()
 
 
-def test_sentences_keep_text(spark):
-    for t in ["a b. c\n\nd e !  f .", "x " * 13, " . .. a.b c? ! d\t\r\ne", " ".join(f"w{i % 5}" for i in range(5000)), "one. " + "two three " * 10 + "end. last"]:
-        u = spark.createDataFrame([(t,)], "t string").select(spans.sentences(F.col("t"))).first()[0]
-        assert "".join(u) == t.lstrip(" \t\r\n")
-        assert max(len(x.split()) for x in u) <= spans.WORDS
+def test_sentences_keep_text():
+    texts = ["a b. c\n\nd e !  f .", "x " * 13, " . .. a.b c? ! d\t\r\ne", "", " \n", " ".join(f"w{i % 5}" for i in range(5000)), "one. " + "two three " * 10 + "end. last"]
+    raws = [t.encode() for t in texts]
+    size, begin, place, _ = spans.units(raws, spans._Words())
+    at = 0
+    for raw, n in zip(raws, size.tolist(), strict=True):
+        cut = [*place[at : at + n].tolist(), len(raw)]
+        sentences = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        assert b"".join(sentences) == (raw if n else b"")
+        assert [len(x.split()) for x in sentences] == np.diff(begin[at : at + n + 1]).tolist()
+        at += n
+
+
+def _sentences(text):
+    """Sentences of a text by a plain reading of the rules."""
+    words = re.findall(r"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*", text)
+    out, held = [], []
+    for w in words:
+        held.append(w)
+        if re.search(r"[.!?]$", w.strip()) or re.search(r"[\r\n]", w):
+            out.append(held)
+            held = []
+    out += [held] * bool(held)
+    parts = []
+    for s in out:
+        low = [hashlib.md5(w.strip().lower().encode()).hexdigest()[:8] for w in s]
+        after = {min(range(i, i + spans.WINDOW), key=lambda k: low[k]) + 1 for i in range(len(s) - spans.WINDOW + 1)} if len(s) > spans.WORDS else set()
+        ends = sorted(after | {len(s)})
+        parts += [" ".join(w.strip().lower() for w in s[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    return parts
+
+
+def test_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    bank = [" ".join(f"w{rng.integers(40)}" for _ in range(rng.integers(1, 50))) + rng.choice([". ", "\n", " ", "! "]) for _ in range(25)]
+    docs = [(i, "".join(rng.choice(bank, rng.integers(0, 12)))) for i in range(60)] + [(60, None), (61, "Ä ß. " * 9)]
+    first, cover = {}, {i: set() for i, _ in docs}
+    of = {i: _sentences(t or "") for i, t in docs}
+    for i, u in of.items():
+        for p in range(max(len(u) - spans.RUN, 0) + 1 if u else 0):
+            n = next((n for n in range(min(spans.RUN, len(u)), len(u) - p + 1) if len(" ".join(u[p : p + n])) >= spans.LEAST), None)
+            if n and first.setdefault(" ".join(u[p : p + n]), (i, p)) != (i, p):
+                cover[i] |= set(range(p, p + n))
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: (r.n_sentences, r.n_removed) for i, r in got.items()} == {i: (len(of[i]), len(cover[i])) for i in of}
+    assert all(0 < len(cover[i]) < len(of[i]) for i in (5, 6))  # a part of a text goes
+    for i, r in got.items():
+        assert _joined(r.kept) == _joined(" ".join(s for k, s in enumerate(of[i]) if k not in cover[i]))
+
+
+def _joined(text):
+    return " ".join(text.lower().split())
