@@ -298,14 +298,13 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield merged(held)
 
 
-def _spans(n: int, length: int, starts: list[np.ndarray]) -> list[dict]:
-    """Maximal runs of bytes covered by windows of ``length`` bytes; each array has distinct starts."""
-    edge = np.zeros(n + 1, np.int64)
-    for p in starts:
-        edge[p] += 1
-        edge[p + length] -= 1
-    turn = np.diff(np.r_[0, np.cumsum(edge[:-1]) > 0, 0].astype(np.int8))
-    return [{"start": s, "end": e} for s, e in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)]
+def _spans(starts: np.ndarray, length: int) -> list[dict]:
+    """Maximal runs of bytes covered by windows of ``length`` bytes, whose starts are marked."""
+    if not starts.any():
+        return []
+    upto = np.cumsum(np.r_[np.zeros(length, np.int32), starts])
+    turn = np.flatnonzero(np.diff(np.r_[False, upto[length:] > upto[:-length], False]))
+    return [{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +317,14 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (copies or 1) > 1:
                 passages, spans = ([{"start": 0, "end": n}] if n >= size else [] for size in (PASSAGE, LENGTH))
             else:
-                starts: tuple[list, list] = ([], [])
+                starts = np.zeros((2, n), bool)
                 for f in found or []:
-                    bits = np.unpackbits(np.frombuffer(f["bits"] or b"", np.uint8), count=2 * f["m"] if f["bits"] else 0).reshape(2, -1)
-                    os = np.array(f["os"] or [], np.int64)
-                    for kind in (0, 1):
-                        starts[kind].append(f["s"] + np.union1d(np.flatnonzero(bits[kind]), os[os % 2 == kind] // 2).astype(np.int64))
-                passages, spans = _spans(n, PASSAGE, starts[0]), _spans(n, LENGTH, starts[1])
+                    s, m = f["s"], f["m"]
+                    if f["bits"]:
+                        starts[:, s : s + m] = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=2 * m).reshape(2, m)
+                    for o in f["os"] or ():
+                        starts[o % 2, s + o // 2] = True
+                passages, spans = (_spans(starts[0], PASSAGE), _spans(starts[1], LENGTH)) if found else ([], [])
             ends = [0, *(x for s in spans for x in (s["start"], s["end"])), n]
             out.append((doc_id, n, spans, passages, b"".join(raw[a:e] for a, e in zip(ends[::2], ends[1::2], strict=True))))
         cols = list(zip(*out, strict=True)) if out else [()] * 5
