@@ -65,12 +65,13 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at, h[at].view(np.int64), first, last
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Larsson-Sadakane: starts of the suffixes in order. codes: small integers, of which 0 separates.
+def suffix_array(codes: np.ndarray, wanted: np.ndarray | None = None, depth: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, int]:
+    """Larsson-Sadakane: starts of the suffixes in order (of those ``wanted``, by their first ``depth`` symbols at least); and the ranks, equal where the suffixes share so many symbols, from before the last refinement. codes: small integers, of which 0 separates.
 
     Groups of suffixes that share a prefix are sorted again by the ranks of what follows the prefix, once and, where three ranks fit
-    into a key, twice as far on; those alone in their group are done."""
+    into a key, twice as far on; those alone in their group are done, and the last refinement is of the wanted ones only."""
     n = len(codes)
+    wanted = np.ones(n, bool) if wanted is None else wanted
     found = np.bincount(codes)
     dense = np.cumsum(found > 0).astype(np.uint64)  # symbols by order; 0 is past the end
     width = int(dense[-1]).bit_length()
@@ -87,8 +88,12 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     rank = np.full(n + 1, -1, np.int64)  # the last one: past the end
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # of the group of each place
     rank[sa] = start
+    known, shared = rank[:n].copy(), h
     place = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in groups that are not sorted yet
-    while len(place):
+    while len(place) and h < depth:
+        if h * (further + 1) >= depth:
+            known, shared = rank[:n].copy(), h
+            place = place[wanted[sa[place]]]
         suffix = sa[place]
         key = start[place]
         for k in range(1, further + 1):
@@ -96,36 +101,42 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         suffix, key = suffix[order], key[order]
         sa[place] = suffix
-        edge = np.r_[True, key[1:] != key[:-1]]
+        edge = np.r_[True, key[1:] != key[:-1]][: len(key)]
         begin = place[np.maximum.accumulate(np.where(edge, np.arange(len(place)), 0))]
         start[place] = begin
         rank[suffix] = begin
-        place = place[~(edge & np.r_[edge[1:], True])]
+        place = place[~(edge & np.r_[edge[1:], True][: len(edge)])]
         h *= further + 1
-    return sa
+    return sa[wanted[sa]], known, shared
 
 
-def common_prefixes(data: np.ndarray, left: np.ndarray, sa: np.ndarray, cap: int = LENGTH, lanes: int = 8192) -> np.ndarray:
-    """Kasai: for each place, the bytes its suffix shares with the one before it, at most ``cap`` and not beyond the context's end, ``left`` bytes away. The text is cut into lanes that advance together."""
-    n = len(data)
+def common_prefixes(data: np.ndarray, left: np.ndarray, sa: np.ndarray, known: np.ndarray, shared: int, cap: int = LENGTH, lanes: int = 8192) -> np.ndarray:
+    """Kasai: for each place of ``sa``, the bytes its suffix shares with the one before it, at most ``cap`` and not beyond the context's end, ``left`` bytes away.
+
+    The suffixes are cut into lanes, by place in the text, that advance together. A suffix shares one byte less than the suffix of the
+    place before it did, where the latter's neighbour leads to one before it; ``shared`` bytes where the ranks ``known`` are equal."""
+    n, m = len(data), len(sa)
     wide = np.r_[data, np.zeros(cap + 8, np.uint8)].astype(np.uint64)
     for i in (1, 2, 4):  # eight bytes from each place on
         wide = wide[:-i] | (wide[i:] << np.uint64(8 * i))
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
+    rank = np.full(n + 1, m, np.int64)  # not wanted: after all
+    rank[sa] = np.arange(m)
+    text = np.sort(sa)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    most = np.where(before >= 0, np.minimum(np.minimum(left, left[before]), cap), 0)
-    lanes = max(1, min(lanes, n // 64))
-    step = -(-n // lanes)
+    lanes = max(1, min(lanes, m // 64))
+    step = -(-m // lanes)
     at = np.arange(lanes) * step
-    end = np.minimum(at + step, n)
-    h = np.zeros(lanes, np.int64)
-    out = np.zeros(n, np.int32)
+    end = np.minimum(at + step, m)
+    last, via, h = np.full(lanes, -2), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    out = np.zeros(m, np.int32)
     for _ in range(step):
         live = np.flatnonzero(at < end)
-        i = at[live]
-        j, top, k = before[i], most[i], np.minimum(h[live], most[i])
+        i = text[at[live]]
+        j = before[i]
+        top = np.where(j >= 0, np.minimum(np.minimum(left[i], left[j]), cap), 0)
+        k = np.where((last[live] + 1 == i) & (rank[np.minimum(via[live] + 1, n)] < rank[i]), h[live] - 1, 0)
+        k = np.minimum(np.maximum(k, np.where((j >= 0) & (known[i] == known[j]), shared, 0)), top)
         open_ = np.flatnonzero(k < top)
         while len(open_):
             x = wide[i[open_] + k[open_]] ^ wide[j[open_] + k[open_]]
@@ -134,7 +145,7 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, sa: np.ndarray, cap: int
             open_ = open_[(same == 8) & (k[open_] < top[open_])]
         k = np.minimum(k, top)
         out[rank[i]] = k
-        h[live] = np.maximum(k - 1, 0)
+        last[live], via[live], h[live] = i, j, k
         at = at + 1
     return out
 
@@ -149,12 +160,14 @@ def window_classes(contexts: list[bytes], counts: list[int]) -> tuple[np.ndarray
     codes = data.astype(np.uint16) + np.uint16(1)
     codes[begin + sizes] = 0
     left = np.repeat(begin + sizes, sizes + 1) - np.arange(len(codes))
-    sa = suffix_array(codes)
-    shared = common_prefixes(data, left, sa)
     count = np.array(counts, np.int64)
     owner = np.repeat(np.arange(len(contexts)), count)
     start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     at = begin[owner] + start
+    wanted = np.zeros(len(codes), bool)
+    wanted[at] = True
+    sa, known, depth = suffix_array(codes, wanted, LENGTH)
+    shared = common_prefixes(data, left, sa, known, depth)
     cls = np.empty(len(codes), np.int64)
     cls[sa] = np.cumsum(shared < PASSAGE)
     short = cls[at]

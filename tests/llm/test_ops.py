@@ -164,14 +164,29 @@ def test_suffix_array_and_prefixes():
     for n in (1, 2, 50, 500):
         codes = rng.integers(0, 3, n).astype(np.uint16)
         plain = codes.tolist()
-        sa = suffix.suffix_array(codes)
+        sa, known, shared = suffix.suffix_array(codes)
         assert sa.tolist() == sorted(range(n), key=lambda i: plain[i:])
-        lcp = suffix.common_prefixes(codes.astype(np.uint8), np.arange(n, 0, -1), sa, 40, lanes=7)
+        lcp = suffix.common_prefixes(codes.astype(np.uint8), np.arange(n, 0, -1), sa, known, 0, 40, lanes=7)
         for k in range(1, n):
             a, b = plain[sa[k - 1] :], plain[sa[k] :]
             assert lcp[k] == min(40, next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
 
 
+def test_window_classes():
+    """Windows of contexts that share long parts, by both lengths, against their bytes."""
+    rng = np.random.default_rng(6)
+    part = bytes(rng.integers(97, 100, 700).astype(np.uint8))
+    contexts = [part[a:b] + bytes(rng.integers(97, 100, 40).astype(np.uint8)) for a, b in rng.integers(0, 350, (12, 2)) + [0, 350]] + [b"ab" * 300, b"ab" * 301]
+    counts = [max(1, min(len(c) - suffix.PASSAGE + 1, 150)) for c in contexts]
+    owner, start, short, long = suffix.window_classes(contexts, counts)
+    windows = [contexts[o][s:] for o, s in zip(owner, start, strict=True)]
+    for cls, n in ((short, suffix.PASSAGE), (long, suffix.LENGTH)):
+        whole = [i for i, w in enumerate(windows) if len(w) >= n]
+        pairs = {(windows[i][:n], int(cls[i])) for i in whole}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert all((c == -1) == (len(w) < suffix.LENGTH) for c, w in zip(long, windows, strict=True))
+
+
 def test_spans(docs, empty):
     got = {r.doc_id: r for r in spans.remove_repeats(docs).collect() if r.doc_id is not None}
     assert got[1].n_removed == 0
