@@ -1,8 +1,14 @@
 """Operator 10, mixing sources to target weights by iterative proportional fitting, in DataFrame operations.
 
-Token counts are summed by cell of source, language and topic. The cells' weights are raked to each margin in turn,
-``STEPS`` times, in one row of arrays; each document then has its cell's factor, is drawn with the probability factor /
-largest factor, so that the expected tokens follow the target shares, and is kept if its identifier's hash is below.
+Topics are fitted to the corpus: the ``TOPICS`` most widespread words of five letters or more that at most half of the
+documents have. A document's topic is the one of them that it has most often (of equal ones the more widespread), or
+``general``. Tokens are counted as the pieces into which word tokenizers first cut a text: runs of letters, single digits
+and runs of other signs; the merges of a tokenizer have no native form.
+
+Token counts are summed by cell of source, language and topic. The cells' factors are raked to each margin in turn,
+``STEPS`` times: in one row of arrays for up to ``ROW`` cells, by grouped sums, a table a step, beyond that; both give the
+same factors. Each document has its cell's factor, is drawn with the probability factor / largest factor, so that the
+expected tokens follow the target shares, and is kept if its identifier's hash is below.
 
 Null source, language and text are the values ``''``; a cell without tokens keeps factor 0 only if its margins have none.
 Rows of equal doc_id share a draw, as do null doc_ids. An empty table gives an empty table; other columns are carried along
@@ -16,25 +22,64 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Target shares are the observed ones to this power, normalised, unless given. More cells than LIMIT are refused.
-TEMPER, STEPS, LIMIT = 0.9, 12, 200_000
+#: Target shares are the observed ones to this power, normalised, unless given.
+TEMPER, STEPS, ROW, TOPICS = 0.9, 12, 2_000, 8
 MARGINS = ("source", "lang", "topic")
+GENERAL = "general"
+#: Pieces of a text and words that can name a topic; white space is these characters, in Spark and in SQL engines alike.
+PIECE, TOPIC_WORD = r"\p{L}+|\p{N}|[^ \t\r\n\p{L}\p{N}]+", r"\p{L}{5,}"
+
+
+def topics(docs: DataFrame) -> list[str]:
+    """The words that name topics, the most widespread first, from all documents."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOPIC_WORD), F.lit(0)))).alias("word"))
+    most = docs.count() / 2
+    found = words.groupBy("word").count().where(F.col("count") <= most).orderBy(F.desc("count"), "word").limit(TOPICS)
+    return [r["word"] for r in found.collect()]  # TOPICS rows
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic from signs in the text; the first that holds."""
-    return (
-        F.when(F.contains(text, F.lit("License")) | F.contains(text, F.lit("license")), "legal").when(F.contains(text, F.lit("@")), "contact")
-        .when(F.contains(text, F.lit("://")), "web").when(F.length(text) < 1200, "short").when(F.length(text) >= 6000, "long").otherwise("prose")
-    )
+def topic(text: Column, names: list[str]) -> Column:
+    if not names:
+        return F.lit(GENERAL)
+    hits = F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})(?:" + "|".join(names) + r")(?!\p{L})"), F.lit(0))
+    counts = lambda h: F.transform(F.array(*map(F.lit, names)), lambda w, i: F.struct(F.size(F.filter(h, lambda x: x == w)).alias("n"), (-i).alias("i"), w.alias("w")))
+    named = F.transform(F.array(hits), lambda h: F.when(F.size(h) == 0, GENERAL).otherwise(F.array_max(counts(h))["w"]))  # an array of one binds the hits once
+    return F.element_at(named, 1)
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^ \t\r\n]+")).cast("long")
+    return F.regexp_count(text, F.lit(PIECE)).cast("long")
+
+
+def _given(targets: dict[str, float], value: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in targets.items() for x in kv))[value], F.lit(0.0))
 
 
 def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """``source``, ``lang``, ``topic`` and ``factor`` of each cell (with ``weight``, its tokens)."""
+    """``source``, ``lang``, ``topic`` and ``factor`` of each cell (with ``weight``, its tokens). Cells are a written table."""
+    return factors_in_row(cells, targets) if cells.count() <= ROW else factors_in_rounds(cells, targets)
+
+
+def factors_in_rounds(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``factors`` of any number of cells: sums of a margin are grouped, and joined to its cells."""
+    now = cells.select(*MARGINS, F.col("weight").cast("double").alias("weight"), F.lit(1.0).alias("factor"))
+    total = float(cells.agg(F.sum("weight")).first()[0] or 0.0)
+    goals = {}
+    for m in MARGINS:
+        share = _given(targets[m], F.col(m)) if targets and m in targets else F.pow(F.sum(F.col("weight").cast("double")), F.lit(TEMPER))
+        goal = written(cells.groupBy(m).agg(share.alias("share")), f"goal-{m}")
+        whole = goal.agg(F.sum("share")).first()[0] or 1.0
+        goals[m] = goal.select(m, (F.col("share") / whole * total).alias("goal"))
+    for _ in range(STEPS):
+        for m in MARGINS:
+            sums = now.groupBy(m).agg(F.sum(F.col("weight") * F.col("factor")).alias("sum")).join(goals[m], m)
+            scale = sums.select(m, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("scale"))
+            now = written(now.join(scale, m).select(*MARGINS, "weight", (F.col("factor") * F.col("scale")).alias("factor")), "raked")
+    return now
+
+
+def factors_in_row(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``factors`` of a few cells, in one row."""
     row = cells.agg(*(F.sort_array(F.collect_set(m)).alias(f"v{k}") for k, m in enumerate(MARGINS)), F.sort_array(F.collect_list(F.struct(*MARGINS, F.col("weight").cast("double").alias("w")))).alias("cells"))
     row = row.withColumn("cells", F.transform("cells", lambda c: F.struct(*(c[m].alias(m) for m in MARGINS), *((F.array_position(F.col(f"v{k}"), c[m]) - 1).cast("int").alias(f"i{k}") for k, m in enumerate(MARGINS)), c["w"].alias("w"))))
     def total_of(cells: Column | str) -> Column:
@@ -45,8 +90,7 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None
 
     def target(k: int, m: str) -> Column:
         if targets and m in targets:
-            given = F.create_map(*(F.lit(x) for kv in targets[m].items() for x in kv))
-            return F.transform(f"v{k}", lambda v: F.coalesce(given[v], F.lit(0.0)))
+            return F.transform(f"v{k}", lambda v: _given(targets[m], v))
         return F.transform(f"g{k}", lambda g: F.pow(total_of(g), F.lit(TEMPER)))
 
     row = row.withColumn("total", total_of("cells"))
@@ -79,14 +123,13 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """``row`` (all columns of a document), ``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``, ``probability`` and ``kept``."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
+    names = topics(docs.select("text"))
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
-    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.source", F.lit("")).alias("source"), F.coalesce("row.lang", F.lit("")).alias("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens"))
-    cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("weight"))
-    found = written(factors(cells, targets), "cells")
-    top = F.max("factor").alias("top"), F.count("*").alias("n")
-    whole = found.agg(*top).first()
-    if whole["n"] > LIMIT:
-        raise ValueError(f"{whole['n']} cells of source, language and topic; at most {LIMIT} are raked")
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.source", F.lit("")).alias("source"), F.coalesce("row.lang", F.lit("")).alias("lang"), topic(text, names).alias("topic"), tokens(text).alias("n_tokens"))
+    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("weight")), "cells")
+    found = written(factors(cells, targets), "factors")
+    whole = found.agg(F.max("factor").alias("top"), F.count("*").alias("n")).first()
     chance = found.select(*MARGINS, (F.col("factor") / F.lit(whole["top"] or 1.0)).alias("probability"))
+    chance = F.broadcast(chance) if whole["n"] <= ROW else chance
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return rows.join(F.broadcast(chance), list(MARGINS)).select("row", "doc_id", *MARGINS, "n_tokens", "probability", (draw < F.col("probability")).alias("kept"))  # at most LIMIT cells
+    return rows.join(chance, list(MARGINS)).select("row", "doc_id", *MARGINS, "n_tokens", "probability", (draw < F.col("probability")).alias("kept"))

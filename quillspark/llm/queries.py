@@ -104,9 +104,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_op10() -> str:
     parts = [
-        "d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS n_tokens,"
-        " CASE WHEN contains(text, 'License') OR contains(text, 'license') THEN 'legal' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '://') THEN 'web'"
-        " WHEN length(coalesce(text, '')) < 1200 THEN 'short' WHEN length(text) >= 6000 THEN 'long' ELSE 'prose' END AS topic FROM documents)",
+        "t AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents)",
+        f"h AS MATERIALIZED (SELECT d, unnest(regexp_extract_all(lower(text), '{mixing.TOPIC_WORD}')) AS word FROM t)",
+        "wc AS MATERIALIZED (SELECT d, word, count(*) AS n FROM h GROUP BY d, word)",
+        f"names AS MATERIALIZED (SELECT word, count(*) AS docs FROM wc GROUP BY word HAVING count(*) <= (SELECT count(*) FROM t) / 2 ORDER BY docs DESC, word LIMIT {mixing.TOPICS})",
+        "best AS (SELECT d, word FROM wc JOIN names USING (word) QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, docs DESC, word) = 1)",
+        f"d AS MATERIALIZED (SELECT doc_id, source, lang, len(regexp_extract_all(text, '{mixing.PIECE}')) AS n_tokens, coalesce(best.word, '{mixing.GENERAL}') AS topic FROM t LEFT JOIN best USING (d))",
         "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS w, sum(n_tokens)::DOUBLE AS x FROM d GROUP BY ALL)",
     ]
     for m in mixing.MARGINS:
