@@ -25,6 +25,8 @@ from .common import bound_batches
 #: Longest context; training texts of a language, about (the bound of the sample); contexts seen less often are left out.
 ORDER, SAMPLE_DOCS, LEAST = 3, 1500, 2
 UND = "und"
+#: A text of at least MEASURED bytes that costs ROOM bits a byte more than the dearest training text of its language is foreign to it.
+MEASURED, ROOM = 200, 2.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -105,18 +107,26 @@ class ContextTrees:
         return cost[ends] - cost[begin]
 
 
+def _labelled(docs: DataFrame, train_on: Column, lang: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(lang).alias("lang"), train_on.alias("t")).where("t and lang is not null and text is not null")
+
+
+def _sample(rows: DataFrame) -> tuple[list[str], DataFrame]:
+    """The languages, and about SAMPLE_DOCS rows of each, chosen by a hash of the identifier."""
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    langs = sorted(counts)
+    at = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / counts[k]))))) if langs else F.create_map().cast("map<string,double>")
+    return langs, rows.where(at < chance[F.col("lang")])
+
+
 def train(docs: DataFrame, train_on: Column, lang: str = "lang") -> ContextTrees:
     """Trees from the rows that ``train_on`` admits and whose language and text are not null: about SAMPLE_DOCS of each language, chosen by a hash of the identifier."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(lang).alias("lang"), train_on.alias("t")).where("t and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    langs = sorted(counts)
+    langs, chosen = _sample(_labelled(docs, train_on, lang))
     if not langs:
         return ContextTrees([], [])
-    at = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / counts[k])))))
     number = F.create_map(*(x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which = b.column(0).to_numpy()
@@ -127,7 +137,7 @@ def train(docs: DataFrame, train_on: Column, lang: str = "lang") -> ContextTrees
                 found, n = np.unique(gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
 
-    grams = rows.where(at < chance[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text").mapInArrow(count, "lang int, gram long, n long")
+    grams = chosen.select(number[F.col("lang")].alias("lang"), "text").mapInArrow(count, "lang int, gram long, n long")
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
     who, gram, n = (table.column(i).to_numpy() for i in range(3))
     order = np.lexsort((gram, who))
@@ -135,6 +145,14 @@ def train(docs: DataFrame, train_on: Column, lang: str = "lang") -> ContextTrees
     return ContextTrees(langs, [(i, gram[who == i], n[who == i]) for i in range(len(langs))])
 
 
+def limits(docs: DataFrame, trees: ContextTrees, train_on: Column, lang: str = "lang") -> dict[str, float]:
+    """Of each language the bits a byte beyond which a text is foreign to it, from the texts it was trained on."""
+    _, chosen = _sample(_labelled(docs, train_on, lang))
+    found = predict(chosen, trees).where((F.col("lang_pred") == F.col("row.lang")) & (F.octet_length("row.text") >= MEASURED))
+    most = {r["lang_pred"]: r["most"] for r in found.groupBy("lang_pred").agg(F.max("bits_per_byte").alias("most")).collect()}  # a row a language
+    return {k: most.get(k, 8.0) + ROOM for k in trees.langs}
+
+
 def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     """``row`` (all columns of a document), ``lang_pred``, ``score`` (the posterior of that language, all being equally likely before) and ``bits_per_byte``."""
     spark = docs.sparkSession

@@ -64,14 +64,14 @@ def simhash(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every whole text."""
+    """``doc_id``, ``fp`` (the fingerprint as a signed long) and ``t`` (a hash) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(simhash(t)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(simhash(t)) for t in b.column(1).to_pylist()], pa.int64()), b.column(2)], ["doc_id", "fp", "t"])
 
     bound_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, t long")
 
 
 def bk_groups(fps: np.ndarray) -> np.ndarray:
@@ -158,11 +158,23 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.mapInArrow(_search, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``: the smallest doc_id reachable over links."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and of each distinct one its group."""
     of = written(fingerprints(docs), "simhash")
     distinct = written(of.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fp")))
-    group = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return of, written(distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-groups")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id``: the smallest doc_id reachable over links."""
+    of, group = _grouped(docs)
     smallest = group.groupBy("root").agg(F.min("least").alias("component_id"))
     return of.join(group.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group, by ``doc_id`` and ``t`` (the hash of its text): the least doc_id (null: last), then the least hash."""
+    of, group = _grouped(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("r")
+    return of.join(group.select("fp", "root"), "fp").groupBy("root").agg(first).select("r.doc_id", "r.t")
