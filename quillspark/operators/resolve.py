@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import similar_titles
@@ -13,7 +13,7 @@ from .graph import labels
 SIMILAR = 0.86
 
 
-def _keys() -> F.Column:
+def _keys() -> Column:
     title = F.concat(F.lit("t:"), "norm")
     return F.array_compact(F.array(F.concat(F.lit("d:"), "doi"), F.concat(F.lit("p:"), "pmid"), F.when(F.length("norm") > 0, title)))
 
@@ -60,15 +60,46 @@ def clusters(records: DataFrame) -> DataFrame:
     return keys.join(components(keys), "seq").groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "seq long, cluster long")
 
 
-def merged(records: DataFrame) -> DataFrame:
-    """One row a cluster: its first title, the first value of each field, all sources, and conflicts.
-
-    A doi conflicts if it is not the cluster's first; a title, if it is not similar to that of the first record. Titles are
-    compared in partitions of records, not of clusters, so that a large cluster is not one task."""
-    rows = saved(records.drop("norm").join(clusters(records), "seq"), "clustered")
-    first = lambda c, *more: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(*more or (c,))
-    firsts = rows.groupBy("cluster").agg(F.min_by("title", "seq").alias("first_title"), first("doi", "first_doi"))
+def conflicts(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``cluster``, ``seq``, ``title``, ``doi``) and whether each conflicts with its cluster: its doi is not the first
+    one the cluster has; its title is not similar to that of the first record. Titles are compared in partitions of records, not of
+    clusters, so that a large cluster is not one task."""
+    firsts = rows.groupBy("cluster").agg(F.min_by("title", "seq").alias("first_title"), _first("doi").alias("first_doi"))
     rows = rows.join(firsts, "cluster").repartition("seq")
     other = F.when((F.col("seq") != F.col("cluster")) & (F.col("title") != F.col("first_title")), F.col("title"))
-    rows = rows.withColumns({"doi_conflict": F.coalesce(F.col("doi") != F.col("first_doi"), F.lit(False)), "title_conflict": ~similar_titles("first_title", other, F.lit(SIMILAR))})
-    return rows.groupBy("cluster").agg(F.min_by("title", "seq").alias("title"), first("doi"), first("pmid"), first("year"), F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"), F.count_if("doi_conflict").alias("doi_conflicts"), F.count_if("title_conflict").alias("title_conflicts"))
+    return rows.withColumns({"doi_conflict": F.coalesce(F.col("doi") != F.col("first_doi"), F.lit(False)), "title_conflict": F.coalesce(~similar_titles("first_title", other, F.lit(SIMILAR)), F.lit(False))})
+
+
+def _first(c: str) -> Column:
+    """The value of the first record that has one; an empty text is none."""
+    return F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("seq")))
+
+
+def filled(rows: DataFrame) -> DataFrame:
+    """One row a cluster of records ``seq``, ``cluster``, ``title``, ``doi``, ``pmid``, ``pmcid``, ``year``, ``journal``, ``authors``, ``types``, ``access``,
+    ``access_url``, ``flag``, ``source``, ``evidence`` (an array).
+
+    The title is the first record's; other fields and the authors are the first that are there; types are a sorted union; open access
+    is sticky, and the last open record after the first brings its address even if it has none, which later records may fill; a flag is
+    sticky, else the first that is known counts; evidence is joined in order."""
+    later_open = F.max(F.when((F.col("access") == "open") & (F.col("seq") != F.col("cluster")), F.col("seq")))
+    url = F.col("access_url").isNotNull() & (F.col("access_url") != "")
+    rows = rows.join(rows.groupBy("cluster").agg(later_open.alias("opened")), "cluster")
+    counts = url & (F.col("opened").isNull() | (F.col("seq") >= F.col("opened")))
+    known = lambda c: F.min_by(c, F.when(F.col(c) != "unknown", F.col("seq")))
+    sticky = lambda c, value: F.when(F.bool_or(F.col(c) == value), value).otherwise(F.coalesce(known(c), F.lit("unknown")))
+    return rows.groupBy("cluster").agg(
+        F.min_by("title", "seq").alias("title"), *(_first(c).alias(c) for c in ("doi", "pmid", "pmcid", "year", "journal")),
+        F.min_by("authors", F.when(F.size("authors") > 0, F.col("seq"))).alias("authors"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"),
+        sticky("access", "open").alias("access"), F.min_by("access_url", F.when(counts, F.col("seq"))).alias("access_url"), sticky("flag", "flagged").alias("flag"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda e: e["evidence"])).alias("evidence"),
+        F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n"),
+    )
+
+
+def merged(records: DataFrame) -> DataFrame:
+    """``filled`` clusters of the records, with how many of their records conflict."""
+    rows = saved(records.drop("norm").join(clusters(records), "seq"), "clustered")
+    found = conflicts(rows.select("cluster", "seq", "title", "doi")).groupBy("cluster").agg(F.count_if("doi_conflict").alias("doi_conflicts"), F.count_if("title_conflict").alias("title_conflicts"))
+    return filled(rows).join(found, "cluster")

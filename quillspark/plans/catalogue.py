@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, policy, text, urls
-from ..operators import audit, graph, references, resolve
+from ..operators import audit, export, graph, references, resolve
 from ..streaming import ledger
 from .rules import Rule, pattern
 from .tables import read, saved
@@ -86,19 +86,47 @@ def q_norm_doi(spark, sf):
 _TITLE = r"trim(regexp_replace(array_to_string(list_transform(string_split(replace(lower({0}), 'ß', 'ss'), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || ' ' ELSE c END), ''), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_TITLE.format('substr(text, 1, 120)')} AS title FROM documents")
+@query(f"SELECT doc_id, {_TITLE.format('text')} AS title FROM documents")
 def q_norm_title(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"))
 
 
-def _records(spark, sf, chars=80, modulus=700):
-    """documents as records of several sources."""
+#: Characters of a normalised text that are a record's title.
+TITLE = 80
+
+
+def _records(spark, sf):
+    """documents as records of several sources. Seven PMIDs in ten documents' number, so that as many share one at any size."""
     d = read(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("seq"), "source", F.substring("text", 1, chars).alias("title"), text.normalize_title(F.substring("text", 1, chars)).alias("norm"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1000/"), F.md5("text"))).alias("doi"), F.when(F.col("doc_id") % 5 == 0, (F.col("doc_id") % modulus).cast("string")).alias("pmid"), (F.lit(2000) + F.col("n_chars") % 25).cast("int").alias("year"))
+    k, pmids = F.col("doc_id"), max(1, d.count() * 7 // 10)
+    title = F.substring(text.normalize_title(F.col("text")), 1, TITLE)
+    d = d.select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("h"), title.alias("title"))
+    null = F.lit(None).cast("string")
+    return d.select(
+        k.alias("seq"), "source", "title", F.col("title").alias("norm"), F.when(k % 3 == 0, F.concat(F.lit("10.1000/"), "h")).alias("doi"), F.when(k % 5 == 0, (k % pmids).cast("string")).alias("pmid"),
+        F.when(k % 11 == 0, F.concat(F.lit("PMC"), k)).alias("pmcid"), F.when(k % 4 > 0, F.lit(2000) + F.col("n_chars") % 25).cast("int").alias("year"), F.when(k % 6 == 0, "").when(k % 6 > 1, F.concat(F.lit("J. "), "source")).alias("journal"),
+        F.when(k % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("A"), k % 17), F.concat(F.lit("B"), k % 5))).alias("authors"), F.array("lang").alias("types"),
+        F.when(k % 7 == 0, "open").when(k % 7 == 1, "closed_or_not_open").otherwise("unknown").alias("access"), F.when(k % 2 == 0, F.concat(F.lit("https://host.org/"), k)).otherwise(null).alias("access_url"),
+        F.when(k % 50 == 0, "flagged").when(k % 3 == 0, "not_flagged").otherwise("unknown").alias("flag"), F.array(F.concat("source", F.lit(":"), k)).alias("evidence"),
+    )
 
 
-_RECORDS = f"""r AS (SELECT doc_id AS seq, source, substr(text, 1, 80) AS title, {_TITLE.format('substr(text, 1, 80)')} AS norm,
-CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || md5(text) END AS doi, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 700)::VARCHAR END AS pmid, (2000 + n_chars % 25)::INT AS year FROM documents)"""
+_RECORDS = f"""rt AS MATERIALIZED (SELECT *, substr({_TITLE.format('text')}, 1, {TITLE}) AS title FROM documents),
+r AS MATERIALIZED (SELECT doc_id AS seq, source, title, title AS norm, CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || md5(text) END AS doi,
+CASE WHEN doc_id % 5 = 0 THEN (doc_id % (SELECT greatest(1, count(*) * 7 // 10) FROM documents))::VARCHAR END AS pmid,
+CASE WHEN doc_id % 11 = 0 THEN 'PMC' || doc_id END AS pmcid, CASE WHEN doc_id % 4 > 0 THEN (2000 + n_chars % 25)::INT END AS year, CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 > 1 THEN 'J. ' || source END AS journal,
+CASE WHEN doc_id % 3 = 1 THEN [] ELSE ['A' || doc_id % 17, 'B' || doc_id % 5] END AS authors, lang AS type, CASE doc_id % 7 WHEN 0 THEN 'open' WHEN 1 THEN 'closed_or_not_open' ELSE 'unknown' END AS access,
+CASE WHEN doc_id % 2 = 0 THEN 'https://host.org/' || doc_id END AS access_url, CASE WHEN doc_id % 50 = 0 THEN 'flagged' WHEN doc_id % 3 = 0 THEN 'not_flagged' ELSE 'unknown' END AS flag FROM rt)"""
+#: The fold over all records, one after another: what leads to each cluster, and each cluster's identifiers, are maps in the row of the recursion.
+_MERGE = f"""RECURSIVE {_RECORDS}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS i, CASE WHEN norm <> '' THEN 'title:' || norm END AS tk FROM r),
+fold(i, seq, cluster, keys, pmids, titles, dois, pms, firsts) AS (
+SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, MAP {{}}::MAP(VARCHAR, BIGINT), MAP {{}}::MAP(VARCHAR, BIGINT), MAP {{}}::MAP(VARCHAR, BIGINT), MAP {{}}::MAP(BIGINT, VARCHAR), MAP {{}}::MAP(BIGINT, VARCHAR), MAP {{}}::MAP(BIGINT, VARCHAR)
+UNION ALL SELECT i, seq, c, CASE WHEN best IS NULL THEN keys ELSE map_concat(keys, MAP {{best: c}}) END, CASE WHEN p IS NULL THEN pmids ELSE map_concat(pmids, MAP {{'pmid:' || p: c}}) END,
+CASE WHEN t IS NULL THEN titles ELSE map_concat(titles, MAP {{t: c}}) END, CASE WHEN d IS NULL THEN dois ELSE map_concat(dois, MAP {{c: d}}) END, CASE WHEN p IS NULL THEN pms ELSE map_concat(pms, MAP {{c: p}}) END, CASE WHEN t IS NULL THEN firsts ELSE map_concat(firsts, MAP {{c: t}}) END
+FROM (SELECT *, coalesce('doi:' || d, 'pmid:' || p, t) AS best FROM (SELECT *, coalesce(dois[c], doi) AS d, coalesce(pms[c], pmid) AS p, CASE WHEN c = seq THEN tk ELSE firsts[c] END AS t FROM (
+SELECT o.i, o.seq, o.doi, o.pmid, o.tk, f.keys, f.pmids, f.titles, f.dois, f.pms, f.firsts,
+coalesce(f.keys['doi:' || o.doi], f.keys['pmid:' || o.pmid], f.pmids['pmid:' || o.pmid], f.keys[o.tk], f.titles[o.tk], o.seq) AS c FROM fold f JOIN o ON o.i = f.i + 1)))),
+m AS MATERIALIZED (SELECT seq, cluster FROM fold WHERE i > 0)"""
 
 
 @query(f"""WITH {_RECORDS} SELECT seq, coalesce('doi:' || doi, 'pmid:' || pmid, 'title:' || norm) AS dedupe_key,
@@ -115,14 +143,23 @@ def q_components(spark, sf):
     return resolve.components(_records(spark, sf))
 
 
-@query()
+@query(f"WITH {_MERGE} SELECT seq, cluster FROM m")
 def q_merge_exact(spark, sf):
     return resolve.clusters(_records(spark, sf))
 
 
-@query()
+@query(f"""WITH {_MERGE}, x AS (SELECT *, max(seq) FILTER (access = 'open' AND seq <> cluster) OVER (PARTITION BY cluster) AS opened, first(doi ORDER BY doi IS NULL, seq) OVER (PARTITION BY cluster) AS first_doi FROM r JOIN m USING (seq))
+SELECT cluster, arg_min(title, seq) AS title, arg_min(doi, seq) FILTER (doi IS NOT NULL) AS doi, arg_min(pmid, seq) FILTER (pmid IS NOT NULL) AS pmid, arg_min(pmcid, seq) FILTER (pmcid IS NOT NULL) AS pmcid,
+arg_min(year, seq) FILTER (year IS NOT NULL) AS year, arg_min(journal, seq) FILTER (journal <> '') AS journal, array_to_string(arg_min(authors, seq) FILTER (len(authors) > 0), ',') AS authors,
+array_to_string(list_sort(list_distinct(list(type))), ',') AS types, CASE WHEN bool_or(access = 'open') THEN 'open' ELSE coalesce(arg_min(access, seq) FILTER (access <> 'unknown'), 'unknown') END AS access,
+arg_min(access_url, seq) FILTER (access_url IS NOT NULL AND (opened IS NULL OR seq >= opened)) AS access_url, CASE WHEN bool_or(flag = 'flagged') THEN 'flagged' ELSE coalesce(arg_min(flag, seq) FILTER (flag <> 'unknown'), 'unknown') END AS flag,
+string_agg(source || ':' || seq, ',' ORDER BY seq) AS evidence, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, count(*) AS n, count(*) FILTER (doi <> first_doi) AS doi_conflicts FROM x GROUP BY cluster""")
 def q_merge_fields(spark, sf):
-    return resolve.merged(_records(spark, sf)).withColumn("sources", F.array_join("sources", ","))
+    records = _records(spark, sf)
+    rows = saved(records.drop("norm").join(resolve.clusters(records), "seq"), "clustered")
+    clash = rows.join(rows.groupBy("cluster").agg(resolve._first("doi").alias("first_doi")), "cluster").groupBy("cluster").agg(F.count_if(F.col("doi") != F.col("first_doi")).alias("doi_conflicts"))
+    out = resolve.filled(rows).join(clash, "cluster")
+    return out.select(*(F.array_join(c, ",").alias(c) if c in ("authors", "types", "evidence", "sources") else F.col(c) for c in out.columns))
 
 
 @query()
@@ -206,26 +243,20 @@ def q_citation_ready(spark, sf):
     return _ready(spark, sf).select("doc_id", "ready")
 
 
-@query(f"""WITH r AS (SELECT d.doc_id, {_READY} AS ready, 2000 + n_chars % 25 AS year FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT doc_id, row_number() OVER (ORDER BY ready DESC, year DESC, doc_id) AS position FROM r ORDER BY position LIMIT 200""")
+@query(f"""WITH r AS (SELECT d.doc_id, {_READY} AS ready, 2000 + n_chars % 25 AS year, {_TITLE.format('text')} AS title FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, row_number() OVER (ORDER BY ready DESC, year DESC, title, doc_id) AS position FROM r""")
 def q_result_order(spark, sf):
     """Positions of all documents: not ready last, later years first, then normalised titles, then order of arrival.
 
     Rows are dealt by ranges of these keys and numbered in each range, after the counts of the ranges before it."""
-    title = F.coalesce(text.normalize_title(F.substring("text", 1, 80)), F.lit("")).alias("title")
+    title = F.coalesce(text.normalize_title(F.col("text")), F.lit("")).alias("title")
     keys = [F.col("ready").desc(), F.col("year").desc(), F.col("title").asc(), F.col("doc_id").asc()]
     rows = _ready(spark, sf, title).select("doc_id", "ready", F.coalesce(F.lit(2000) + F.col("n_chars") % 25, F.lit(0)).alias("year"), "title")  # titles are taken before the join, which then moves no texts
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = saved(rows.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
-    at = F.row_number().over(Window.partitionBy("part").orderBy(*keys)).cast("long")
-    return rows.withColumn("at", at).join(F.broadcast(before), "part").select("doc_id", (F.col("at") + F.col("before")).alias("position"))
+    return export.numbered(rows, *keys).select("doc_id", "position")
 
 
-@query("""WITH o AS (SELECT sha256(lower(substr(text, 1, 40))) AS rec, source, doc_id, lower(text) AS v, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 3 END AS p FROM documents),
-k AS (SELECT rec, doc_id, row_number() OVER (PARTITION BY rec ORDER BY p, source, doc_id) AS k, count(DISTINCT v) OVER (PARTITION BY rec) AS d, count(*) OVER (PARTITION BY rec) AS n FROM o)
-SELECT rec, doc_id AS chosen, n - 1 AS alternatives, d > 1 AS conflict FROM k WHERE k = 1""")
+@query(f"""WITH {_MERGE}, held AS (SELECT cluster AS rec, source, doc_id, lower(text) AS v, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 3 END AS p FROM documents JOIN m ON seq = doc_id)
+SELECT rec, first(doc_id ORDER BY p, source, doc_id) AS chosen, count(*) - 1 AS alternatives, count(DISTINCT v) > 1 AS conflict FROM held GROUP BY rec""")
 def q_provenance(spark, sf):
     """Of each merge cluster (``rec``), the document of the first source; a conflict is more than one text."""
     rank = F.when(F.col("source") == "src0", 0).when(F.col("source") == "src1", 1).when(F.col("source") == "src2", 2).otherwise(3)
@@ -565,34 +596,33 @@ def q_benchmark_profile(spark, sf):
 
 # --- expansion ---------------------------------------------------------------------------------------------------------------
 
-_EDGES = "e AS (SELECT DISTINCT a.l_orderkey AS src, b.l_orderkey AS dst FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey)"
-
-
 def _incidence(spark, sf):
     """All pairs of an order and a part of it; orders that share a part are neighbours."""
     return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("key"))
 
 
-#: The registered SQL of q_snowball, q_curve and q_caps still has a cut graph (_CHAINED) and differs from the queries, which take the whole one.
-_CHAINED = """li AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_partkey % 10 = 0), ch AS (SELECT *, row_number() OVER (PARTITION BY p, s ORDER BY o) AS k FROM li),
-e AS (SELECT DISTINCT a.o AS src, b.o AS dst FROM ch a JOIN ch b ON a.p = b.p AND a.s = b.s AND b.k = a.k + 1 WHERE a.o <> b.o), s0 AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 100 = 0)"""
-_ROUNDS = ", ".join([f"s{k} AS MATERIALIZED (SELECT DISTINCT dst AS node FROM e JOIN s{k - 1} ON src = node WHERE dst NOT IN ({' UNION '.join(f'SELECT node FROM s{j}' for j in range(k))}))" for k in range(1, 5)])
+#: Rounds over the whole order-part incidence: the parts of the frontier, then the orders of those parts that were not seen.
+_INCIDENCE = "inc AS MATERIALIZED (SELECT DISTINCT l_orderkey AS node, l_partkey AS key FROM lineitem), s0 AS MATERIALIZED (SELECT o_orderkey AS node FROM orders WHERE o_orderkey < 3)"
+_ROUNDS = ", ".join([f"s{k} AS MATERIALIZED (SELECT DISTINCT node FROM inc WHERE key IN (SELECT key FROM inc JOIN s{k - 1} USING (node)) AND node NOT IN ({' UNION '.join(f'SELECT node FROM s{j}' for j in range(k))}))" for k in range(1, 5)])
+
 
+def _seeds(spark, sf):
+    return read(spark, sf, "orders").where("o_orderkey < 3").select(F.col("o_orderkey").alias("node"))
 
-@query(f"WITH {_CHAINED}, {_ROUNDS} " + " UNION ALL ".join(f"SELECT node, {k} AS round FROM s{k}" for k in range(5)))
+
+@query(f"WITH {_INCIDENCE}, {_ROUNDS} " + " UNION ALL ".join(f"SELECT node, {k} AS round FROM s{k}" for k in range(5)))
 def q_snowball(spark, sf):
-    seeds = read(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("node"))
-    return graph.expand_shared(_incidence(spark, sf), seeds, 4)
+    return graph.expand_shared(_incidence(spark, sf), _seeds(spark, sf), 4)
 
 
-@query(f"WITH {_CHAINED}, {_ROUNDS}, n AS (" + " UNION ALL ".join(f"SELECT {k} AS round, count(*) AS found FROM s{k}" for k in range(1, 5)) + ") SELECT round, found, sum(found) OVER (ORDER BY round)::BIGINT AS total FROM n")
+@query(f"WITH {_INCIDENCE}, {_ROUNDS}, n AS (" + " UNION ALL ".join(f"SELECT {k} AS round, count(*) AS found FROM s{k}" for k in range(1, 5)) + ") SELECT round, found, sum(found) OVER (ORDER BY round)::BIGINT AS total FROM n")
 def q_curve(spark, sf):
-    seen = graph.expand_shared(_incidence(spark, sf), read(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("node")), 4, stop_at=-1)
+    seen = graph.expand_shared(_incidence(spark, sf), _seeds(spark, sf), 4, stop_at=-1)
     n = spark.range(1, 5).select(F.col("id").cast("int").alias("round")).join(seen, "round", "left").groupBy("round").agg(F.count("node").alias("found"))
     return n.withColumn("total", F.sum("found").over(Window.orderBy("round")))  # a row a round
 
 
-@query(f"""WITH {_CHAINED}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k, count(*) OVER (PARTITION BY src) AS n FROM e) SELECT src, count(*) FILTER (k <= 2) AS taken, max(n) > 2 AS truncated FROM r GROUP BY src""")
+@query(f"""WITH {_INCIDENCE}, e AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM inc a JOIN inc b ON a.key = b.key AND a.node <> b.node) SELECT src, least(count(*), 2) AS taken, count(*) > 2 AS truncated FROM e GROUP BY src""")
 def q_caps(spark, sf):
     n = graph.neighbour_counts(_incidence(spark, sf), 3)
     return n.select(F.col("node").alias("src"), F.least("n", F.lit(2)).cast("long").alias("taken"), (F.col("n") > 2).alias("truncated"))
@@ -636,9 +666,14 @@ def q_bibtex(spark, sf):
     return read(spark, sf, "part").withColumn("base", base).select("p_partkey", F.concat("base", F.when(n > 1, n.cast("string")).otherwise("")).alias("cite_key"))
 
 
-@query("SELECT p_partkey AS record_id, p_name AS title, p_brand AS authors, (1990 + p_size)::INT AS year, '' AS included FROM part")
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) AS record_id, p_name AS title, p_type AS abstract, p_brand AS authors, (1990 + p_size)::INT AS year, 'J. ' || p_brand AS journal, CASE WHEN p_partkey % 2 = 0 THEN '10.1000/p' || p_partkey ELSE '' END AS doi,
+CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR ELSE '' END AS pmid, CASE WHEN p_partkey % 2 = 0 THEN 'https://doi.org/10.1000/p' || p_partkey WHEN p_partkey % 3 = 0 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || p_partkey || '/' ELSE '' END AS url, '' AS keywords, p_type AS origin, 'include' AS auto_prescreen, '' AS included FROM part""")
 def q_asreview(spark, sf):
-    return read(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("authors"), (F.col("p_size") + 1990).cast("int").alias("year"), F.lit("").alias("included"))
+    from ..operators.export import screening
+
+    k = F.col("p_partkey")
+    records = read(spark, sf, "part").select(k.alias("seq"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), F.array("p_brand").alias("authors"), (F.col("p_size") + 1990).alias("year"), F.concat(F.lit("J. "), "p_brand").alias("journal"), F.when(k % 2 == 0, F.concat(F.lit("10.1000/P"), k)).alias("doi"), F.when(k % 3 == 0, k.cast("string")).alias("pmid"), F.col("p_type").alias("origin"), F.lit("include").alias("auto_prescreen"))
+    return screening(records)
 
 
 @query(f"""WITH d AS (SELECT count(*) AS identified, count(DISTINCT text) AS after_dedup FROM documents), u AS (SELECT DISTINCT text FROM documents), x AS (SELECT count(*) FILTER (NOT {_INC} OR {_EXC}) AS auto_excluded, count(*) FILTER ({_INC} AND NOT {_EXC}) AS to_screen FROM u)

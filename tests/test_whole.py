@@ -23,7 +23,7 @@ def near(spark):
 
 def test_expansion_takes_all_parts(spark, near):
     keys = [r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
-    seen = {o: 0 for o in keys if o % 100 == 0}
+    seen = {o: 0 for o in keys if o < 3}
     for k in range(1, 5):
         for o in set().union(*(near.get(o, set()) for o, at in seen.items() if at == k - 1)) - seen.keys():
             seen[o] = k
@@ -52,7 +52,7 @@ def test_long_chain_is_not_a_cycle(spark):
 
 def test_result_order_has_all_rows(spark):
     sf = SF.replace("sf0.001", "sf0.01")
-    title = catalogue.text.normalize_title(F.substring("text", 1, 80))
+    title = catalogue.text.normalize_title(F.col("text"))
     rows = catalogue._ready(spark, sf).select("doc_id", "ready", "n_chars", title.alias("title")).collect()
     want = [r.doc_id for r in sorted(rows, key=lambda r: (not r.ready, -(2000 + r.n_chars % 25), r.title, r.doc_id))]
     got = catalogue.q_result_order(spark, sf).collect()
@@ -75,6 +75,6 @@ def test_records_of_a_cluster_meet(spark):
     rank = {"src0": 0, "src1": 1, "src2": 2}
     want = {(c, min(g, key=lambda r: (rank.get(r.source, 3), r.source, r.doc_id)).doc_id, len(g) - 1, len({r.text.lower() for r in g}) > 1) for c, g in groups.items()}
     assert {tuple(r) for r in catalogue.q_provenance(spark, SF).collect()} == want
-    title = lambda d: catalogue.text._title(docs[d].text[:80])
+    title = lambda d: catalogue.text._title(catalogue.text._title(docs[d].text)[:80])
     same = {(d, c, round(difflib.SequenceMatcher(None, title(c), title(d)).ratio(), 6)) for d, c in cluster.items() if d != c}
     assert {tuple(r) for r in catalogue.q_similarity(spark, SF).collect()} == same
