@@ -12,7 +12,6 @@ OPENALEX = "meta struct<count:long,next_cursor:string>, results array<struct<id:
 CROSSREF = "message struct<`total-results`:long,items:array<struct<DOI:string,title:array<string>,issued:struct<`date-parts`:array<array<int>>>,author:array<struct<family:string,given:string>>,abstract:string>>>"
 PUBMED = "result map<string,string>"
 _SUMMARY = "title string, articleids array<struct<idtype:string,value:string>>, authors array<struct<name:string>>, pubtype array<string>, pubdate string, source string"
-_PUBMED_XML = "PMID string, CommentsCorrectionsList struct<CommentsCorrections:array<struct<_RefType:string,PMID:string,RefSource:string,Note:string>>>"
 
 
 def _parsed(payloads: DataFrame, schema: str) -> DataFrame:
@@ -25,7 +24,7 @@ def issues(payloads: DataFrame, source: str, schema: str, required: str) -> Data
 
 
 def _split(c: Column, by: str) -> Column:
-    return F.filter(F.transform(F.split(c, by), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, by), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def europe_pmc(payloads: DataFrame) -> DataFrame:
@@ -54,15 +53,38 @@ def pubmed(payloads: DataFrame) -> DataFrame:
     return rows.select("request_id", "pmid", F.col("r.title").alias("title"), normalize_doi(ids["doi"]).alias("doi"), ids["pmc"].alias("pmcid"), F.transform("r.authors", lambda a: a["name"]).alias("authors"), first_year(F.col("r.pubdate")).alias("year"), F.col("r.source").alias("journal"), F.exists("r.pubtype", lambda p: F.lower(p).contains("retract")).alias("flagged"))
 
 
-def safe_xml(c: Column) -> Column:
-    """The document without its DOCTYPE; null if it declares entities."""
-    return F.when(~F.upper(c).contains("<!ENTITY"), F.regexp_replace(c, r"(?is)<!DOCTYPE\s+PubmedArticleSet[^>\[]*>", ""))
+#: Fixed value: the one document type that may be declared.
+DOCTYPE = r'(?i)<!DOCTYPE\s+PubmedArticleSet\s+PUBLIC\s+"-//NLM//DTD PubMedArticle,\s*[^"<>]+//EN"\s+"https://dtd\.nlm\.nih\.gov/ncbi/pubmed/out/pubmed_[0-9]+\.dtd"\s*>'
 
 
-def pubmed_relations(payloads: DataFrame) -> DataFrame:
-    """Notices of exactly one article a payload; the citation element is the payload's ``body``."""
-    rows = payloads.select("request_id", F.from_xml(safe_xml(F.col("body").cast("string")), _PUBMED_XML).alias("p"))
-    return rows.select("request_id", F.col("p.PMID").alias("pmid"), F.explode("p.CommentsCorrectionsList.CommentsCorrections").alias("r")).select("request_id", "pmid", F.col("r._RefType").alias("ref_type"), F.col("r.PMID").alias("other_pmid"), clean_xml_text(F.col("r.Note")).alias("note"))
+def safe_xml(c: Column) -> Column:
+    """The document without its declaration of the one known type; null if it declares entities, another type, or more than one."""
+    declared = F.regexp_count(c, F.lit(r"(?i)<!DOCTYPE\b[^>]*>"))
+    known = F.regexp_count(c, F.lit(DOCTYPE))
+    return F.when(~F.upper(c).contains("<!ENTITY") & (declared <= 1) & (declared == known), F.regexp_replace(c, DOCTYPE, ""))
+
+
+def relation_doi(relation: Column) -> Column:
+    """The DOI of a notice: of its identifiers, its own, or the first one in its source or note."""
+    ids = F.filter(relation["ArticleIdList"]["ArticleId"], lambda i: F.lower(i["_IdType"]) == "doi")
+    listed = F.get(F.filter(F.transform(ids, lambda i: normalize_doi(clean_xml_text(i["_VALUE"]))), lambda d: d.isNotNull()), F.lit(0))
+    inside = lambda c: normalize_doi(F.regexp_extract(c, "(?i)(10\\.[0-9]{4,9}/[^\\s<>\\]\\[\"']+)", 1))
+    return F.coalesce(listed, normalize_doi(clean_xml_text(relation["DOI"])), inside(relation["RefSource"]), inside(relation["Note"]))
+
+
+def pubmed_relations(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Notices of the article that was asked for (``request_id``, ``pmid``, ``body``: a set of articles in XML) and issues: unsafe or broken XML, an error in it, or not exactly one article of that PMID."""
+    notice = "struct<_RefType:string,PMID:string,DOI:string,RefSource:string,Note:string,ArticleIdList:struct<ArticleId:array<struct<_IdType:string,_VALUE:string>>>>"
+    schema = f"PubmedArticle array<struct<MedlineCitation:struct<PMID:string,CommentsCorrectionsList:struct<CommentsCorrections:array<{notice}>>>>>, ERROR string"
+    safe = safe_xml(F.col("body").cast("string"))
+    p = payloads.select("request_id", F.col("pmid").cast("string").alias("pmid"), safe.alias("safe"), F.from_xml(F.coalesce(safe, F.lit("<none/>")), schema).alias("p"))
+    mine = F.filter("p.PubmedArticle", lambda a: clean_xml_text(a["MedlineCitation"]["PMID"]) == F.col("pmid"))
+    broken = F.lower(F.col("safe")).rlike(r"<error\b")
+    message = F.when(F.col("safe").isNull(), "unsafe declaration").when(broken, "explicit error").when(F.coalesce(F.size(mine), F.lit(0)) != 1, "not exactly one article")
+    p = p.withColumns({"message": message, "one": F.get(mine, F.lit(0))})
+    issues_ = p.where("message is not null").select("request_id", F.lit("pubmed").alias("source"), F.lit("relations").alias("stage"), "message", F.lit(False).alias("fatal"))
+    rows = p.where("message is null").select("request_id", "pmid", F.explode("one.MedlineCitation.CommentsCorrectionsList.CommentsCorrections").alias("r")).where("r._RefType is not null and r._RefType <> ''")
+    return rows.select("request_id", "pmid", F.col("r._RefType").alias("ref_type"), clean_xml_text(F.col("r.PMID")).alias("other_pmid"), relation_doi(F.col("r")).alias("doi"), clean_xml_text(F.col("r.Note")).alias("note")), issues_
 
 
 def pagination_state(returned: Column, available: Column, cap: Column, failed: Column) -> Column:

@@ -106,9 +106,6 @@ def test_payloads(spark):
     assert (r.doi, r.pmid, r.work, r.abstract) == ("10.1/a", "99", "W12", "a b a")
     assert [(x.src, x.dst) for x in payloads.openalex_edges(w).collect()] == [("W12", "W7")]
     assert [x.request_id for x in payloads.issues(df, "works", payloads.OPENALEX, "p.results").collect()] == ["r2"]
-    xml = '<!DOCTYPE PubmedArticleSet SYSTEM "x"><MedlineCitation><PMID>5</PMID><CommentsCorrectionsList><CommentsCorrections RefType="RetractionIn"><PMID>6</PMID><Note> a  b </Note></CommentsCorrections></CommentsCorrectionsList></MedlineCitation>'
-    rel = payloads.pubmed_relations(spark.createDataFrame([("r", xml)], "request_id string, body string")).first()
-    assert (rel.pmid, rel.ref_type, rel.other_pmid, rel.note) == ("5", "RetractionIn", "6", "a b")
     summary = json.dumps({"result": {"uids": ["1"], "1": {"title": "T", "articleids": [{"idtype": "doi", "value": "10.1/B"}], "authors": [{"name": "A"}], "pubtype": ["Retracted Publication"], "pubdate": "2010 Jan", "source": "J"}}})
     p = payloads.pubmed(spark.createDataFrame([("r", summary)], "request_id string, body string")).first()
     assert (p.pmid, p.doi, p.year, p.flagged) == ("1", "10.1/b", 2010, True)
