@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -22,7 +26,15 @@ def chain_hash(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit("|"), payload), 256)
 
 
-def build_chain(payloads: Column) -> Column:
-    """Hashes of an ordered array of payloads, each over the hash before it."""
-    start = F.array().cast("array<string>")
-    return F.aggregate(payloads, start, lambda acc, p: F.concat(acc, F.array(chain_hash(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(GENESIS)), p))))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def build_chain(payloads: pd.Series) -> pd.Series:
+    """Hashes of an ordered array of payloads, each over the hash before it. A fold over built-ins would copy all hashes at each event."""
+
+    def chain(events) -> list[str]:
+        out, last = [], GENESIS
+        for p in events:
+            last = hashlib.sha256(f"{last}|{p}".encode()).hexdigest()
+            out.append(last)
+        return out
+
+    return payloads.map(lambda events: None if events is None else chain(events))

@@ -102,14 +102,18 @@ def weighted_score(parts_: list[tuple[float, Column]]) -> Column:
     return sum((F.coalesce(v * w, F.lit(0.0)) for w, v in parts_), F.lit(0.0)) / total
 
 
+#: Scores from which a candidate is a sure match, or one to review; and those of journals that speak for or against it.
+SURE, SURE_TITLE, REVIEW, JOURNAL_FOR, JOURNAL_AGAINST, BACKING = 0.86, 0.88, 0.72, 0.80, 0.25, 2
+
+
 def match_decision(score: Column, title: Column, author: Column, year: Column, journal: Column, doi: Column) -> Column:
     """What a candidate is to a reference; author and year scores are 0, 1 or null."""
     no = lambda c: F.coalesce(c == 0, F.lit(False))
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    backing = yes(author == 1) + yes(year == 1) + yes(journal >= 0.80)
-    against = no(author) | no(year) | F.coalesce(journal < 0.25, F.lit(False))
+    backing = yes(author == 1) + yes(year == 1) + yes(journal >= JOURNAL_FOR)
+    against = no(author) | no(year) | F.coalesce(journal < JOURNAL_AGAINST, F.lit(False))
     return (
-        F.when(doi & ((title < 0.72) | no(author) | no(year)), "identifier_metadata_conflict")
-        .when(doi | ((score >= 0.86) & (title >= 0.88) & (backing >= 2) & ~against), "matched_high_confidence")
-        .when((score >= 0.72) & (title >= 0.72), "candidate_requires_review").otherwise("not_matched")
+        F.when(doi & ((title < REVIEW) | no(author) | no(year)), "identifier_metadata_conflict")
+        .when(doi | ((score >= SURE) & (title >= SURE_TITLE) & (backing >= BACKING) & ~against), "matched_high_confidence")
+        .when((score >= REVIEW) & (title >= REVIEW), "candidate_requires_review").otherwise("not_matched")
     )

@@ -53,7 +53,7 @@ def _cut(text: pd.Series) -> pd.Series:
 
     def one(t: str | None) -> list[tuple[int, int | None, str]]:
         found = list(re.finditer(MARKER, t or ""))
-        ends = [m.start() for m in found[1:]] + [len(t or "")]
+        ends = [m.start() for m in found[1:]] + [len(t or "")] * bool(found)
         return [(0, None, (t or "")[: found[0].start() if found else None])] + [(m.start() + 1, int(m[1]), t[m.end() : e]) for m, e in zip(found, ends, strict=True)]
 
     return text.map(one)

@@ -35,7 +35,7 @@ def work_signals(kind: Column, subkind: Column, updates: Column, relation: Colum
     names = F.array_compact(F.transform(F.map_keys(relation), lambda k: signal("crossref:relation", k)))
     inside = notice_signals("crossref:relation", F.flatten(F.map_values(relation)))
     own = F.array_compact(F.array(signal("crossref:type", kind), signal("crossref:subtype", subkind)))
-    return F.concat(own, notice_signals("crossref:update-to", updates), F.coalesce(names, F.array().cast(_SIGNAL)), inside)
+    return F.concat(*(F.coalesce(s, F.array().cast(_SIGNAL)) for s in (own, notice_signals("crossref:update-to", updates), names, inside)))
 
 
 def type_signals(types: Column) -> Column:
@@ -88,12 +88,12 @@ def verify(records: DataFrame, works: DataFrame, notices: DataFrame, relations:
         .when(has_doi, "unverified").when(has_pmid & F.array_contains("sources", "europe_pmc"), "authoritative_id_verified").otherwise("unverified")
     )
     none = F.array().cast(_SIGNAL)
-    signals = F.concat(
-        F.when(F.col("worked"), F.col("w_signals")).otherwise(none), F.when(updates_ok, notice_signals("crossref:update-to", F.col("notices"))).otherwise(none), type_signals(F.col("types")),
-        F.when(yes("relations_ok"), F.array_compact(F.transform("ref_types", lambda t: signal("pubmed:related_article.ref_type", t)))).otherwise(none),
-    )
+    signals = F.concat(*(F.coalesce(s, none) for s in (
+        F.when(F.col("worked"), F.col("w_signals")), F.when(updates_ok, notice_signals("crossref:update-to", F.col("notices"))), type_signals(F.col("types")),
+        F.when(yes("relations_ok"), F.array_compact(F.transform("ref_types", lambda t: signal("pubmed:related_article.ref_type", t)))),
+    )))
     complete = (~has_doi | updates_ok) & (~has_pmid | yes("relations_ok"))
-    r = r.withColumns({"verification": level, "status": assess(F.coalesce(signals, none)), "complete": complete})
+    r = r.withColumns({"verification": level, "status": assess(signals), "complete": complete})
     grave = F.col("status.status")
     reasons = F.array_compact(F.array(
         F.when(registry, "pmid_resolved"), F.when(F.col("worked") & clean, "doi_and_title_matched"), F.when(has_doi & ~F.col("worked") & ~registry, "doi_not_resolved"),

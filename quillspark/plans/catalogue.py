@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, policy, text, urls
-from ..operators import audit, export, graph, references, resolve
+from ..operators import audit, export, graph, quotes, references, resolve
 from ..streaming import ledger
 from .rules import Rule, pattern
 from .tables import read, saved
@@ -179,7 +179,7 @@ for _e, _c in text.ENTITIES.items():
 
 @query(f"SELECT page_id, sha256(trim(regexp_replace({_ENT.format('html')}, '[ \\t\\r\\n]+', ' ', 'g'))) AS clean_sha256 FROM pages")
 def q_clean_text(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.sha2(text.clean_abstract(F.col("html")), 256).alias("clean_sha256"))
+    return read(spark, sf, "pages").select("page_id", F.sha2(text.clean_markup(F.col("html")), 256).alias("clean_sha256"))
 
 
 @query("SELECT item_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS rebuilt, len(list_distinct(regexp_extract_all(text, '[^ \\n]+'))) AS n_words FROM benchmark")
@@ -487,13 +487,19 @@ def q_resume(spark, sf):
 
 
 def _quoted(spark, sf):
-    """Quotes of five words or more meet texts by their second to fourth word, which are whole words wherever the quote stands, and are then compared whole."""
-    words = lambda c: F.split(F.col(c), "[ \n]")
-    quotes = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words("text"), 2, 3), " ").alias("key"))
-    docs = read(spark, sf, "documents").select("doc_id", "text")
-    grams = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2))))).alias("key"))
-    spots = grams.join(quotes.select("key").distinct(), "key", "left_semi")
-    return spots.join(quotes, "key").select("doc_id", "item_id", "quote").join(docs, "doc_id").where(F.contains("text", F.col("quote")))
+    return quotes.contained(read(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), read(spark, sf, "documents"))
+
+
+def _short_quotes(spark, sf):
+    """Quotes of one to four words, which begin and end inside words too."""
+    b = read(spark, sf, "benchmark")
+    return b.select("item_id", F.substring("text", F.lit(3), (F.col("item_id") % 12 + 2).cast("int")).alias("quote"))
+
+
+@query("""WITH q AS (SELECT item_id, substr(text, 3, item_id % 12 + 2) AS quote FROM benchmark) SELECT q.item_id, count(*) AS docs, sum(((length(d.text) - length(replace(d.text, quote, ''))) / length(quote))::INT)::BIGINT AS n FROM q JOIN documents d ON contains(d.text, quote) GROUP BY q.item_id""")
+def q_quote_short(spark, sf):
+    found = quotes.contained(_short_quotes(spark, sf), read(spark, sf, "documents"))
+    return found.groupBy("item_id").agg(F.count("*").alias("docs"), F.sum(text.quote_count(F.col("text"), F.col("quote"))).cast("long").alias("n"))
 
 
 @query("""SELECT b.item_id, d.doc_id, ((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text))::INT AS n, instr(d.text, b.text) - 1 AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_abstract, normalize_doi, normalize_title, record_keys
+from ..functions.text import clean_markup, normalize_doi, normalize_title, record_keys
 from ..functions.validate import InvalidInput
 from ..operators.graph import labels
 from .rules import Rule
@@ -39,7 +39,7 @@ class Limits:
 
 def matched_text(title, abstract):
     """What a rule is held against: the title, a space, and the cleaned abstract if there is one."""
-    return F.concat(title, F.lit(" "), F.coalesce(clean_abstract(abstract), F.lit("")))
+    return F.concat(title, F.lit(" "), F.coalesce(clean_markup(abstract), F.lit("")))
 
 
 def _first_of_each(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -98,7 +98,7 @@ def expand(seeds: DataFrame, links: DataFrame, core: DataFrame, rule: Rule, limi
         wanted = fresh.select("pmid", order.alias("seq"))
         resolved = saved(wanted.join(core.select("pmid", "doi", "title", "abstract"), "pmid").withColumn("keys", F.array_remove(keys, F.concat(F.lit("pmid:"), "pmid"))), "resolved")
         seen = seen.unionByName(fresh.select(F.concat(F.lit("pmid:"), "pmid").alias("key")))
-        new = accepted(resolved, seen).withColumn("relevant", rule.matches(matched_text(F.col("title"), F.col("abstract"))))
+        new = accepted(resolved, seen).withColumn("matched", matched_text(F.col("title"), F.col("abstract"))).withColumn("relevant", rule.matches(F.col("matched")))
         new = saved(new.select(F.lit(k).alias("round"), "seq", "pmid", "doi", "title", "keys", "relevant"), "accepted")
         seen = saved(seen.unionByName(new.select(F.explode("keys").alias("key"))).distinct(), "seen-keys")
         found = new if found is None else found.unionByName(new)

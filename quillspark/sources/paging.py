@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_abstract, first_year, normalize_doi, short_work_id
+from ..functions.text import first_year, normalize_doi, short_work_id, strip_tags
 from ..functions.validate import paging
 
 _EUROPE = "hitCount string, nextCursorMark string, resultList struct<result:array<struct<id:string,source:string,pmid:string,pmcid:string,doi:string,title:string,authorString:string,journalTitle:string,pubYear:string,pubType:string,isOpenAccess:string,isRetracted:string,abstractText:string,license:string>>>"
@@ -77,7 +77,7 @@ def ranked_record(r: Column) -> Column:
     doi = normalize_doi(r["DOI"])
     return record(
         "crossref", F.get(r["title"], F.lit(0)), authors=names, journal=F.get(r["container-title"], F.lit(0)), year=F.get(F.get(r["issued"]["date-parts"], F.lit(0)), F.lit(0)), doi=r["DOI"], types=F.array_compact(F.array(r["type"])), record_id=doi,
-        url=F.coalesce(F.concat(F.lit("https://doi.org/"), doi), F.lit("https://www.crossref.org/")), abstract=_blank(clean_abstract(r["abstract"])),
+        url=F.coalesce(F.concat(F.lit("https://doi.org/"), doi), F.lit("https://www.crossref.org/")), abstract=_blank(strip_tags(r["abstract"])),
     )
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillspark.plans import catalogue
+from quillspark.plans import registry as catalogue
 
 from .conftest import SF
 
