@@ -44,7 +44,7 @@ def topic(text: Column, names: list[str]) -> Column:
     hits = F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})(?:" + "|".join(names) + r")(?!\p{L})"), F.lit(0))
     counts = lambda h: F.transform(F.array(*map(F.lit, names)), lambda w, i: F.struct(F.size(F.filter(h, lambda x: x == w)).alias("n"), (-i).alias("i"), w.alias("w")))
     named = F.transform(F.array(hits), lambda h: F.when(F.size(h) == 0, GENERAL).otherwise(F.array_max(counts(h))["w"]))  # an array of one binds the hits once
-    return F.element_at(named, 1)
+    return F.coalesce(F.element_at(named, 1), F.lit(GENERAL))  # never null, so that the join asks for it once
 
 
 def tokens(text: Column) -> Column:

@@ -5,7 +5,8 @@ words and word beginnings of a text, which are weighted by their log count ratio
 of all earlier categories; in training these are out-of-fold predictions, so a later model sees them as wrong as they are on new
 texts. It is fitted on a bounded sample of labelled rows, about ``SAMPLE`` of each combination of labels.
 
-Null text counts as empty; null labels and labels of unknown documents are not trained on; a category without both
+Null text counts as empty; null labels and labels of unknown documents are not trained on; of repeated labels of a document the
+maximum of each category counts; a category without both
 values has their share as probability. Rows repeat as they come; an empty table gives an empty table; other columns are
 dropped.
 """

@@ -307,17 +307,90 @@ def test_toxic(spark, docs, empty):
     assert toxic.score(docs, none).count() == len(ROWS)
 
 
+def _plain_fit(x, dense, y):
+    """The linear model of one category over a plain matrix of features, by the same steps."""
+    if y.min() == y.max():
+        p = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        return np.zeros(x.shape[1]), np.r_[np.zeros(dense.shape[1]), np.log(p / (1 - p))]
+    yes, no = x.T @ y + 0.5, x.T @ (1 - y) + 0.5
+    ratio = np.log(yes / (y.sum() + 1)) - np.log(no / (len(y) - y.sum() + 1))
+    ratio = np.where(np.abs(ratio) < toxic.LEAST_RATIO, 0, ratio)
+    z = np.c_[x * ratio, dense, np.ones(len(y))]
+    w = np.r_[np.full(x.shape[1], 0.1), np.zeros(dense.shape[1] + 1)]
+    decay = np.r_[np.full(x.shape[1], 1e-4), np.zeros(dense.shape[1] + 1)]
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, toxic.STEPS + 1):
+        g = z.T @ ((toxic._sigmoid(z @ w) - y) * weight / len(y)) + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return ratio * w[: x.shape[1]], w[x.shape[1] :]
+
+
+def test_chain_equals_plain_chain_with_out_of_fold_inputs():
+    """The later model learns from predictions of models that have not seen the row; rows without a label for a category still feed the next."""
+    rng = np.random.default_rng(5)
+    docs_ = [" ".join(rng.choice(["good", "vile", "plain", "word", "more", "text", "here"], 12)) for _ in range(80)]
+    labels = np.column_stack([[float("good" in d.split()[:4]) for d in docs_], [float("vile" in d.split()[:4]) for d in docs_]])
+    labels[::9, 1] = np.nan
+    folds = np.arange(80) % toxic.FOLDS
+    sets = [set(toxic.features(d)) for d in docs_]
+    chain = toxic.Chain(["a", "b"], sets, labels, folds)
+    matrix = np.array([[float(f in s) for f in chain.column] for s in sets])
+    size = np.log1p(matrix.sum(axis=1))[:, None]
+    dense, shown = size, size
+    for c in range(2):
+        known = ~np.isnan(labels[:, c])
+        out = np.zeros(80)
+        for k in range(toxic.FOLDS):
+            train, rest = known & (folds != k), folds == k
+            w, u = _plain_fit(matrix[train], dense[train], labels[train, c])
+            out[rest] = toxic._sigmoid(matrix[rest] @ w + np.c_[dense[rest], np.ones(rest.sum())] @ u)
+        w, u = _plain_fit(matrix[known], dense[known], labels[known, c])
+        dense = np.c_[dense, out]
+        shown = np.c_[shown, toxic._sigmoid(matrix @ w + np.c_[shown, np.ones(80)] @ u)]
+    assert np.abs(chain.predict(docs_) - shown[:, 1:]).max() < 1e-6
+    in_fold = np.abs(dense[:, 1] - shown[:, 1])
+    assert in_fold.max() > 1e-3  # the inputs it learned from are not the fitted ones
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
     assert all(0 <= r.probability <= 1 for r in rows)
+    by = {r.doc_id: r for r in rows}
+    assert by[3].topic == by[4].topic == mixing.GENERAL
+    assert (by[3].n_tokens, by[9].n_tokens) == (0, 9)
+    assert by[6].n_tokens == 12_000
+    assert mixing.mix(empty).count() == 0
+
+
+@pytest.mark.parametrize("fit", [mixing.factors_in_row, mixing.factors_in_rounds])
+def test_raking(spark, fit):
     cells = spark.createDataFrame([("a", "x", "p", 10.0), ("a", "y", "q", 30.0), ("b", "x", "q", 40.0), ("b", "y", "p", 20.0)], "source string, lang string, topic string, weight double")
     share = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}, "topic": {"p": 0.45, "q": 0.55}}
-    out = mixing.factors(cells, share).collect()
+    out = fit(cells, share).collect()
     for m, wanted in share.items():
         for v, s in wanted.items():
             assert abs(sum(r.weight * r.factor for r in out if r[m] == v) / 100 - s) < 0.02
-    assert mixing.mix(empty).count() == 0
+
+
+def test_raking_alike_in_row_and_rounds(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(0, 50))) for i in range(4) for j in range(3) for k in range(3) if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, weight double")
+    one, many = ({tuple(r[m] for m in mixing.MARGINS): r.factor for r in f(cells).collect()} for f in (mixing.factors_in_row, mixing.factors_in_rounds))
+    assert one.keys() == many.keys()
+    assert all(one[k] == pytest.approx(many[k], rel=1e-9) for k in one)
+
+
+def test_topics_are_widespread_words(spark):
+    texts_ = ["apple apple grape the", "APPLE melon", "grape melon melon lemon", "lemon", "melon", None, "xxxxx1apple"]
+    d = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    names = mixing.topics(d.select("text"))
+    assert names[:2] == ["apple", "melon"]
+    got = {r.doc_id: r.t for r in d.select("doc_id", mixing.topic(F.coalesce("text", F.lit("")), names).alias("t")).collect()}
+    assert [got[i] for i in range(7)] == ["apple", "apple", "melon", "lemon", "melon", mixing.GENERAL, "apple"]
 
 
 def test_components(spark):
