@@ -132,3 +132,50 @@ def html_rows(planned: DataFrame) -> DataFrame:
 def html_page(items: list[str], institution: str) -> str:
     """A page of a checklist's items; meant for lists that people read."""
     return f"<!doctype html><meta charset='utf-8'><title>{escape(institution)}</title><h1>{escape(institution)}</h1><ol>{''.join(items)}</ol>"
+
+
+def decisions(records: DataFrame, locations: DataFrame) -> DataFrame:
+    """Where each record (``key``, ``title``, ``doi``, ``pmid``, ``pmcid``, ``access``, ``license``) may lawfully be read: ``category``, ``route``, ``url``, ``landing_url``, ``used_license``, ``note``.
+
+    An open record of the full-text archive comes first, if its licence lets machines read it; then the best open location (``locations``: ``doi``, ``url``, ``landing_url``,
+    ``license``, ``version``), if its does; else the link of whichever there is, the archive's before the other. Without any, access goes through the DOI's page, or the PMID's."""
+    from ..functions.policy import assess_license
+    from ..functions.text import normalize_doi
+
+    archive_url = F.concat(F.lit("https://www.ebi.ac.uk/europepmc/webservices/rest/"), "pmcid", F.lit("/fullTextXML"))
+    there = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    loc = locations.select(normalize_doi(F.col("doi")).alias("l_doi"), F.col("url").alias("l_url"), F.col("landing_url").alias("l_landing"), F.col("license").alias("l_license")).dropDuplicates(["l_doi"])
+    r = records.withColumn("doi", normalize_doi(F.col("doi"))).join(loc, F.col("doi") == F.col("l_doi"), "left")
+    first = there("pmcid") & (F.col("access") == "open")
+    first_ok = first & (assess_license(archive_url, F.col("license")) == "allowed_machine_read")
+    second = there("l_url")
+    second_ok = second & (assess_license(F.col("l_url"), F.col("l_license")) == "allowed_machine_read")
+    category = F.when(first_ok | second_ok, "oa_machine_readable").when(first | second, "oa_link_only").when(there("doi") | there("pmid"), "needs_institutional_access").otherwise("no_identifier")
+    route = F.when(first_ok, "europe_pmc_oa").when(second_ok, "unpaywall").when(first, "europe_pmc_oa").when(second, "unpaywall")
+    own, other = F.col("route") == "europe_pmc_oa", F.col("route") == "unpaywall"
+    r = r.withColumns({"category": category, "route": route})
+    landing_url = F.when(own, F.concat(F.lit("https://europepmc.org/articles/"), "pmcid")).when(other, F.col("l_landing")).when(there("doi"), F.concat(F.lit("https://doi.org/"), "doi")).when(there("pmid"), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "pmid", F.lit("/")))
+    note = F.when((F.col("category") == "needs_institutional_access") & there("doi"), "no lawful open location found").when(F.col("category") == "needs_institutional_access", "no DOI, and not open in the archive")
+    return r.select("key", "title", "doi", "pmid", "pmcid", "category", "route", F.when(own, archive_url).when(other, F.col("l_url")).alias("url"), landing_url.alias("landing_url"), F.when(own, F.col("license")).when(other, F.col("l_license")).alias("used_license"), note.alias("note"))
+
+
+def downloads(decided: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` decisions that a downloader may act on."""
+    return decided.where((F.col("category") == "oa_machine_readable") & F.col("url").isNotNull()).orderBy("key").limit(most)
+
+
+def document_errors(rows: DataFrame) -> DataFrame:
+    """``key`` and ``error`` of downloaded documents (``key``, ``content_type``, ``body``) that are not what they claim: a PDF begins and ends as one does; an article in XML has its parts and a body of some length."""
+    from ..sources.archive import media_type
+    from .claims import article_text
+
+    kind = media_type(F.col("content_type"))
+    head, tail = F.decode(F.substring("body", 1, 5), "ISO-8859-1"), F.decode(F.expr("substring(body, greatest(octet_length(body) - 1023, 1), 1024)"), "ISO-8859-1")
+    xml = kind.isin("application/xml", "text/xml") | kind.endswith("+xml")
+    r = rows.withColumn("x", article_text(F.when(xml, F.col("body"))))
+    text = F.regexp_extract(F.decode("body", "UTF-8"), r"(?is)<(?:\w+:)?body\b[^>]*>(.*)</(?:\w+:)?body>", 1)
+    length = F.length(F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " ")))
+    pdf = F.when(head != "%PDF-", "not a PDF").when(~tail.contains("startxref"), "no cross-reference").when(~tail.contains("%%EOF"), "no end mark")
+    article = F.when(F.col("x.error").isNotNull(), F.col("x.error")).when(length < 200, "body too short")
+    error = F.when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, "empty").when(kind == "application/pdf", pdf).when(xml, article).otherwise("content type")
+    return r.select("key", error.alias("error")).where("error is not null")

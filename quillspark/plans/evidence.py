@@ -467,3 +467,35 @@ def q_open_locations(spark, sf):
     body = F.to_json(F.struct(F.when(k % 4 == 0, F.struct(F.lit("").alias("url_for_pdf"), F.concat(F.lit("https://host.org/"), k).alias("url"), F.when(k % 3 == 0, "cc-by").when(k % 3 == 1, "cc-by-nc").alias("license"))).alias("best_oa_location")))
     found, _ = lookups.open_locations(read(spark, sf, "documents").select(F.concat(F.lit("10.1/"), k).alias("key"), F.lit(1).alias("seq"), F.when(k % 8 == 1, 404).otherwise(200).alias("status"), body.alias("body")))
     return found.select("doi", "url", policy.assess_license(F.col("url"), F.col("license")).alias("decision"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 > 0 AS has_doi, doc_id % 6 = 0 AS has_pmid, doc_id % 5 = 0 AND doc_id % 10 = 0 AS first, doc_id % 20 = 0 AS first_ok, doc_id % 4 > 0 AND doc_id % 3 = 0 AS second, doc_id % 7 < 3 AS free FROM documents)
+SELECT doc_id::VARCHAR AS key, CASE WHEN first_ok OR (second AND free) THEN 'oa_machine_readable' WHEN first OR second THEN 'oa_link_only' WHEN has_doi OR has_pmid THEN 'needs_institutional_access' ELSE 'no_identifier' END AS category,
+CASE WHEN first_ok THEN 'europe_pmc_oa' WHEN second AND free THEN 'unpaywall' WHEN first THEN 'europe_pmc_oa' WHEN second THEN 'unpaywall' END AS route,
+CASE WHEN first_ok THEN 'CC BY' WHEN second AND free THEN 'cc0' WHEN second AND NOT first THEN 'cc by nc' END AS used_license FROM d""")
+def q_access_decisions(spark, sf):
+    k = F.col("doc_id")
+    d = read(spark, sf, "documents")
+    records = d.select(k.cast("string").alias("key"), F.lit("t").alias("title"), F.when(k % 4 > 0, F.concat(F.lit("10.1/"), k)).alias("doi"), F.when(k % 6 == 0, k.cast("string")).alias("pmid"), F.when(k % 5 == 0, F.concat(F.lit("PMC"), k)).alias("pmcid"), F.when(k % 10 == 0, "open").otherwise("unknown").alias("access"), F.when(k % 20 == 0, "CC BY").alias("license"))
+    locations = d.where(k % 3 == 0).select(F.concat(F.lit("10.1/"), k).alias("doi"), F.concat(F.lit("https://host.org/"), k).alias("url"), _null().alias("landing_url"), F.when(k % 7 < 3, "cc0").otherwise("cc by nc").alias("license"))
+    return access.decisions(records, locations).select("key", "category", "route", "used_license")
+
+
+@query("""SELECT p_partkey, '@article{k' || p_partkey || ',' || chr(10) || '  title = {{' || p_name || ' \\& more \\_x\\_}},' || chr(10) || '  author = {' || replace(p_brand, '#', '\\#') || ' and B},' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '  journal = {J},' || chr(10) ELSE '' END || '  year = {' || (1990 + p_size) || '}' ||
+CASE WHEN p_partkey % 2 = 0 THEN ',' || chr(10) || '  doi = {10.1000/p' || p_partkey || '}' ELSE '' END || chr(10) || '}' || chr(10) AS entry FROM part""")
+def q_bibtex_entry(spark, sf):
+    from ..operators.export import bibtex
+
+    k = F.col("p_partkey")
+    return read(spark, sf, "part").select(k, bibtex(F.concat(F.lit("k"), k), F.concat("p_name", F.lit(" & more _x_")), F.array(F.col("p_brand"), F.lit("B")), F.when(F.col("p_size") % 2 == 0, "J"), F.col("p_size") + 1990, F.when(k % 2 == 0, F.concat(F.lit("10.1000/P"), k))).alias("entry"))
+
+
+@query("""WITH e AS (SELECT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber = 1) SELECT DISTINCT 'p' || p AS subject, CASE WHEN p % 9 = 0 THEN 'relation' WHEN p % 5 = 0 THEN 'evidence_missing' END AS error FROM e WHERE p % 9 = 0 OR p % 5 = 0
+UNION ALL SELECT DISTINCT 'p' || p, 'evidence_missing' FROM e WHERE p % 9 = 0 AND p % 5 = 0""")
+def q_version_errors(spark, sf):
+    from ..operators import versions
+
+    l = read(spark, sf, "lineitem").where("l_linenumber = 1")
+    p = F.col("l_partkey")
+    rows = l.select(F.concat(F.lit("p"), p).alias("subject"), F.when(p % 9 == 0, "copy_of").otherwise("preprint_of").alias("relation"), F.concat(F.lit("s"), "l_suppkey").alias("object"), F.when(p % 5 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("ev"))).alias("evidence_ids"), F.lit(False).alias("confirmed"))
+    return versions.edge_errors(rows).select("subject", "error").distinct()

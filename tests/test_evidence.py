@@ -479,3 +479,27 @@ def test_graph_of_works(spark):
     edges = spark.createDataFrame([("W1", "W2", 0), ("W1", "W3", 1), ("W2", "W1", 0)], "src string, dst string, pos int")
     got = {(r.src, r.dst, r.direction, r.total) for r in snowball.work_graph(edges, works).collect()}
     assert got == {("1", "2", "backward", 2), ("1", None, "backward", 2), ("2", "1", "backward", 1), ("2", "1", "forward", 1), ("1", "2", "forward", 1)}
+
+
+def test_versions(spark):
+    from quillspark.operators import versions
+
+    schema = "subject string, relation string, object string, evidence_ids array<string>, confirmed boolean"
+    rows = [("a", "preprint_of", "b", ["e1"], None), ("a", "preprint_of", "b", ["e2", "e1"], True), ("b", "version_of_record_of", "c", ["e"], None), ("c", "preprint_of", "b", ["e"], None), ("d", "preprint_of", "d", ["e"], None), ("e", "possible_same_study", "a", [], None), ("a", "possible_same_study", "e", ["e"], None), ("x", "odd", "y", ["e"], None)]
+    df = spark.createDataFrame(rows, schema)
+    kept = versions.edges(df).collect()
+    assert [(r.subject, r.relation, r.object) for r in kept] == sorted({r[:3] for r in rows})
+    assert next(r for r in kept if r.subject == "a" and r.object == "b").evidence_ids == ["e1", "e2"]
+    assert {(r.subject, r.object, r.error) for r in versions.edge_errors(df).collect()} == {("b", "c", "cycle"), ("c", "b", "cycle"), ("d", "d", "self"), ("e", "a", "evidence_missing"), ("x", "y", "relation")}
+
+
+def test_documents_and_downloads(spark):
+    body = JATS.replace(" B ", "word " * 60)
+    pdf = b"%PDF-1.7 ... startxref 9 %%EOF"
+    rows = {"ok": ("application/pdf", pdf), "not a PDF": ("application/pdf", b"x" + pdf), "no end mark": ("application/pdf", pdf[:-5]), "no cross-reference": ("application/pdf", b"%PDF- %%EOF"), "xml": ("text/xml; charset=x", body.encode()), "body too short": ("text/xml", JATS.encode()), "structure": ("application/jats+xml", b"<article/>"), "content type": ("text/html", b"x"), "empty": ("application/pdf", b"")}
+    df = spark.createDataFrame([(k, t, bytearray(b)) for k, (t, b) in rows.items()], "key string, content_type string, body binary")
+    assert {r.key: r.error for r in access.document_errors(df).collect()} == {k: k for k in rows if k not in ("ok", "xml")}
+    records = spark.createDataFrame([("1", "t", "10.1/a", None, "PMC1", "open", "cc by"), ("2", "t", None, "5", None, "unknown", None), ("3", "t", None, None, None, "unknown", None)], "key string, title string, doi string, pmid string, pmcid string, access string, license string")
+    d = access.decisions(records, spark.createDataFrame([], "doi string, url string, landing_url string, license string, version string"))
+    assert {r.key: (r.category, r.landing_url) for r in d.collect()} == {"1": ("oa_machine_readable", "https://europepmc.org/articles/PMC1"), "2": ("needs_institutional_access", "https://pubmed.ncbi.nlm.nih.gov/5/"), "3": ("no_identifier", None)}
+    assert [r.key for r in access.downloads(d, 1).collect()] == ["1"]
