@@ -475,15 +475,11 @@ def _joined(text):
     return " ".join(text.lower().split())
 
 
-def test_intermediate_tables_are_cleared(spark, tmp_path):
+def test_intermediate_tables_are_cleared(spark, tmp_path, monkeypatch):
     from quillspark.llm import common
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        common.written(spark.range(3).toDF("x"), "t")
-        assert list(tmp_path.rglob("*.parquet"))
-        common.clear(spark)
-        assert not list(tmp_path.rglob("*.parquet"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    common.written(spark.range(3).toDF("x"), "t")
+    assert list(tmp_path.rglob("*.parquet"))
+    common.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
