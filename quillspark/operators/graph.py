@@ -9,8 +9,13 @@ from ..plans.tables import saved
 
 
 def labels(membership: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """``node``, ``component`` (least node reachable) of a membership table ``node``, ``key``: nodes that share a key are linked."""
-    member = saved(membership.select("node", "key").distinct(), "membership")
+    """``node``, ``component`` (least node reachable) of a membership table ``node``, ``key``: nodes that share a key are linked.
+
+    Keys of one node link nothing and nodes without any other are left out of the rounds."""
+    every = saved(membership.select("node", "key").distinct(), "membership")
+    shared = saved(every.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+    member = saved(every.join(shared, "key", "left_semi"), "linked")
+    alone = every.select("node").distinct().join(member.select("node").distinct(), "node", "left_anti").select("node", F.col("node").alias("component"))
     now = member.groupBy("node").agg(F.min("node").alias("component"))
     for _ in range(most_rounds):
         by_key = member.join(now, "node").groupBy("key").agg(F.min("component").alias("least"))
@@ -19,7 +24,7 @@ def labels(membership: DataFrame, most_rounds: int = 200) -> DataFrame:
         jump = nearest.withColumnRenamed("node", "n").withColumnRenamed("component", "c")
         new = saved(nearest.join(jump, nearest.component == jump.n, "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component")), "labels")
         if new.join(now.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
-            return new
+            return new.unionByName(alone)
         now = new
     raise RuntimeError(f"labels still change after {most_rounds} rounds")
 

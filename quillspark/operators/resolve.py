@@ -57,7 +57,11 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 def clusters(records: DataFrame) -> DataFrame:
     """``seq``, ``cluster`` (seq of its first record). A cluster never reaches beyond a component, so each is folded by itself."""
     keys = saved(records.select("seq", "doi", "pmid", "norm"), "keys")
-    return keys.join(components(keys), "seq").groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "seq long, cluster long")
+    of = saved(components(keys), "components")
+    several = of.groupBy("component").count().where("count > 1").select("component")
+    folded = keys.join(of.join(several, "component", "left_semi"), "seq").groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "seq long, cluster long")
+    alone = of.join(several, "component", "left_anti").select("seq", F.col("seq").alias("cluster"))
+    return folded.unionByName(alone)
 
 
 def conflicts(rows: DataFrame) -> DataFrame:

@@ -11,14 +11,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that all executors share (``spark.checkpoint.dir``), which cuts its lineage."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, for this application. Only a local session may go without ``spark.checkpoint.dir``."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "/tmp/checkpoints"
-    path = f"{where}/quillspark/{name}-{uuid.uuid4().hex}"
+    return f"{where}/quillspark/{spark.sparkContext.applicationId}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder that all executors share, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application has saved; results that were not written elsewhere are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
