@@ -39,3 +39,12 @@ def test_query_equals_sql(spark, db, name):
 def test_flagship(spark):
     rows = catalogue.flagship(spark, SF).collect()
     assert sum(r.held for r in rows) == 200
+
+
+def test_clean_text_decodes_what_its_sql_does(spark, tmp_path):
+    """Pages cut inside a reference, references that the SQL leaves alone, and white space that it keeps."""
+    pages = ["<p>a &amp; b</p> &copy", "cut &amp", "&amp;lt; &eacute;&#65; &lt;x", "a &nbsp;b\x0b\x0cc", None, ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows(catalogue.QUERIES["q_clean_text"](spark, str(tmp_path)).toPandas()) == rows(con.sql(catalogue.SQL["q_clean_text"]).df())
