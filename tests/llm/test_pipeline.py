@@ -154,3 +154,21 @@ def test_code_lengths_equal_naive_matching(spark):
             want = sum(cost(naive[lang], raw[max(0, i - langid.ORDER) : i], raw[i]) for i in range(len(raw)))
             assert bits == pytest.approx(want, rel=1e-4)
     assert seen >= set(b"abrcd")
+
+
+def test_language_model_and_limits_are_of_all_rows(spark):
+    """4,000 rows of one language: counts are those of every text, and the dearest text of all sets the limit."""
+    rng = np.random.default_rng(2)
+    texts = [f"plain words number {i} " * 10 for i in range(4000)]
+    texts[1234] = bytes(rng.integers(97, 123, 300).astype(np.uint8)).decode()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    trees = langid.train(docs, F.lit(True))
+    raw = [t.encode() for t in texts]
+    grams = Counter((b"\n" * langid.ORDER + r)[i : i + langid.ORDER + 1] for r in raw for i in range(len(r)))
+    order = sorted(grams)
+    whole = langid.ContextTrees(["x"], [(0, np.array([int.from_bytes(g, "big") for g in order]), np.array([grams[g] for g in order]))])
+    assert np.array_equal(trees.bits, whole.bits)
+    assert trees.lengths(raw[1234], np.array([300])).tolist() == whole.lengths(raw[1234], np.array([300])).tolist()
+    most = (trees.lengths(b"".join(raw), np.cumsum([len(r) for r in raw]))[:, 0] / [len(r) for r in raw]).max()
+    assert langid.limits(docs, trees, F.lit(True))["x"] == pytest.approx(most + langid.ROOM)
+    assert most == pytest.approx(trees.lengths(raw[1234], np.array([300]))[0, 0] / 300)
