@@ -177,3 +177,25 @@ def test_best_of_equal_scores_by_order(spark):
 
     rows = spark.createDataFrame([("a", 0.5, 2), ("a", 0.5, 1), ("a", 0.9, 3), ("a", None, 0), ("b", None, 4)], "k string, s double, seq int")
     assert sorted((r.k, r.place, r.seq) for r in best(rows, "k", "s", "seq", 2).collect()) == [("a", 1, 3), ("a", 2, 1), ("b", 1, 4)]
+
+
+def test_quote_matches_are_given_out_in_bounded_parts(spark):
+    """Texts of 100,000 characters that hold 60 quotes each: no part of the matches has more than the bound, and counting takes no texts along."""
+    import pyarrow as pa
+
+    from quillspark.operators import quotes
+
+    held = {f"q{i}.": [i, 100 + i] for i in range(60)}
+    text_ = "é" * 100_000 + "".join(held) + "q1.q1."
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": [text_] * 3 + [None, ""]})
+    for with_text in (True, False):
+        parts = list(quotes._finder(lambda: held, with_text)(iter([batch])))
+        assert max(sum(len(t) for t in p.column("text").to_pylist()) if with_text else p.num_rows for p in parts) <= (quotes.OUT_BYTES if with_text else quotes.OUT_ROWS)
+        got = [x for p in parts for x in p.to_pylist()]
+        assert len(got) == 3 * 120
+        assert {(x["quote"], x["n"], x["at"]) for x in got} == {(q, 3 if q == "q1." else 1, text_.index(q)) for q in held}
+    docs = spark.createDataFrame([(1, "aaaa b"), (2, "x"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "aa"), (8, "b"), (9, ""), (10, None)], "item_id long, quote string")
+    assert "text" not in quotes.located(q, docs).columns
+    assert sorted(map(tuple, quotes.located(q, docs).collect())) == [(1, 7, "aa", 2, 0), (1, 8, "b", 1, 5)]
+    assert sorted(map(tuple, quotes.contained(q, docs).collect())) == [(1, 7, "aa", "aaaa b"), (1, 8, "b", "aaaa b")]
