@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once nothing is read from them any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the tables that this application has written between its steps; results that were not saved are lost with them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}")

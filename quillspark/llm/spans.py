@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, texts, written
+from .common import bound_batches, discard, texts, written
 
 RUN, WORDS, LEAST, WINDOW = 3, 16, 50, 12
 GROUP = 2 << 20
@@ -177,10 +177,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     each = written(rows.mapInArrow(_run_rows, "doc_id long, t long, pos int, n_run byte, h1 long, h2 long"), "spans")
     again = written(each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "repeated-spans")  # tables, so that Spark can split the join of a frequent run
     found = written(each.join(again, ["h1", "h2"]), "spans-of-repeated")
+    discard(each, again)  # the largest table by far: later steps, and later runs of the application, need its room
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "pos")
     first = written(found.groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-spans")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("pos") == F.col("first.pos"))
     gone = found.join(first, ["h1", "h2"]).where(~same).groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "n_run")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("g"), F.col("t").alias("gt"), "gone")
+    gone = written(gone.select(F.col("doc_id").alias("g"), F.col("t").alias("gt"), "gone"), "removed-spans")
+    discard(found, first)
     of_row = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("t") == F.col("gt")), "left").select("doc_id", "text", "gone")
     return of_row.mapInArrow(_kept_rows, "doc_id long, n_sentences long, n_removed long, kept string")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, contentsort, cws, langid, mixing, simhash, spans, spm, suffix, tokencount, toxic
+from quillspark.llm import bpe, common, contentsort, cws, langid, mixing, simhash, spans, spm, suffix, tokencount, toxic
 from quillspark.llm.components import components
 
 LONG = "ab cd. " * 4000
@@ -483,3 +483,15 @@ def test_intermediate_tables_are_cleared(spark, tmp_path, monkeypatch):
     assert list(tmp_path.rglob("*.parquet"))
     common.clear(spark)
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_spans_leave_only_the_table_that_the_result_reads(spark):
+    """The tables of runs and repeats are gone when the result is there, so that repeated runs do not pile them up."""
+    from pathlib import Path
+
+    where = Path(common.shared_dir(spark)) / "quillspark" / spark.sparkContext.applicationId
+    text = "One two three four five six seven. Eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen. "
+    before = set(where.glob("*"))
+    found = spans.remove_repeats(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string"))
+    assert [x.name.rsplit("-", 1)[0][:13] for x in set(where.glob("*")) - before] == ["removed-spans"]
+    assert sorted((r.doc_id, r.n_removed) for r in found.collect()) == [(1, 0), (2, 3), (3, 0)]
