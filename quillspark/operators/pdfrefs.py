@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,12 +121,111 @@ def block_keys(norm: Column, words: int = 3) -> Column:
     return F.filter(F.array_distinct(runs), lambda k: k != "")
 
 
+#: Pairs of a key up to which they are scored one by one; references and publications of a larger one that meet in one group.
+PAIRS, REFS, PUBS = 1024, 1000, 30_000
+
+
+def _round6(x: float) -> float:
+    """As ``F.round``."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+def _letters(titles: list[str]) -> np.ndarray:
+    """How often each of a-z, 0-9 and space is in each normalised title."""
+    out = np.zeros((len(titles), 37), np.int16)
+    at = np.repeat(np.arange(len(titles)), [len(t) for t in titles])
+    raw = np.frombuffer("".join(titles).encode(), np.uint8).astype(np.int64)
+    np.add.at(out, (at, np.where(raw == 32, 36, np.where(raw < 97, raw - 48 + 26, raw - 97))), 1)
+    return out
+
+
+def _best_of_group(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The pairs of a group that are among the best ``limit`` of a reference by score, then by ``pub``: exactly those, but a title is only compared where its bound may still reach them."""
+
+    def best(r: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("pub", kind="stable").reset_index(drop=True)
+        if not len(r) or not len(p):
+            return pd.DataFrame({"ref": r["ref"].iloc[:0], "pub": p["pub"].iloc[:0]})
+        if r["k"].iloc[0].startswith("d:"):  # one DOI: all score 1
+            top = p["pub"].iloc[:limit]
+            return pd.DataFrame({"ref": r["ref"].repeat(len(top)).to_numpy(), "pub": np.tile(top.to_numpy(), len(r))})
+        tails = {x: i for i, x in enumerate(dict.fromkeys(zip(p["author"], p["year"], p["journal"], strict=True)))}
+        tail = np.array([tails[x] for x in zip(p["author"], p["year"], p["journal"], strict=True)])
+        titles, letters = p["norm"].tolist(), _letters(p["norm"].tolist())
+        size = np.array([len(t) for t in titles])
+        orders: dict[tuple, tuple] = {}
+        ratios: dict[tuple[str, str], float] = {}
+        refs, pubs = [], []
+
+        def journal(a: str, b: str) -> float:
+            if (a, b) not in ratios:
+                ratios[a, b] = difflib.SequenceMatcher(None, a, b).ratio()
+            return ratios[a, b]
+
+        def parts(x: tuple, y: tuple) -> list[tuple[float, float | None]]:
+            author = float(x[0] == y[0]) if x[0] and y[0] else None
+            year = float(x[1] == y[1]) if x[1] and y[1] else None
+            return [(WEIGHTS["author"], author), (WEIGHTS["year"], year), (WEIGHTS["journal"], journal(x[2][1:], y[2][1:]) if x[2] and y[2] else None)]
+
+        def total(title: float, more: list[tuple[float, float | None]]) -> float:
+            top, weight = 0.0 + title * WEIGHTS["title"], 0.0 + WEIGHTS["title"]
+            for w, v in more:
+                top, weight = top + (0.0 if v is None else v * w), weight + (0.0 if v is None else w)
+            return top / weight
+
+        for ref, norm, mine, own in zip(r["ref"], r["norm"], zip(r["author"], r["year"], r["journal"], strict=True), _letters(r["norm"].tolist()), strict=True):
+            if mine not in orders:
+                more = [parts(mine, x) for x in tails]
+                least, step = np.array([total(0.0, m) for m in more]), np.array([total(1.0, m) for m in more])
+                by = np.argsort(-step[tail], kind="stable")
+                orders[mine] = more, by, least[tail][by], (step - least)[tail][by]
+            more, by, least, slope = orders[mine]
+            held: list[tuple[float, int]] = []  # (-score, place by pub), best first
+            known: dict[str, float] = {}
+            for low in range(0, len(by), 512):
+                part = by[low : low + 512]
+                if len(held) == limit and least[low] + slope[low] + 1e-6 < -held[-1][0]:
+                    break
+                bound = least[low : low + 512] + slope[low : low + 512] * 2 * np.minimum(letters[part], own).sum(axis=1) / np.maximum(len(norm) + size[part], 1)
+                for i in np.argsort(-bound, kind="stable"):
+                    if len(held) == limit and bound[i] + 1e-6 < -held[-1][0]:
+                        break
+                    at = int(part[i])
+                    title = titles[at]
+                    if title not in known:
+                        known[title] = difflib.SequenceMatcher(None, norm, title).ratio() if norm and title else 0.0
+                    held = sorted([*held, (-_round6(total(known[title], more[tail[at]])), at)])[:limit]
+            refs += [ref] * len(held)
+            pubs += [at for _, at in held]
+        return pd.DataFrame({"ref": pd.Series(refs, dtype=r["ref"].dtype), "pub": p["pub"].iloc[pubs].to_numpy()})
+
+    return best
+
+
 def candidates(refs: DataFrame, publications: DataFrame, limit: int = 5) -> DataFrame:
-    """The best ``limit`` candidates of each reference ``ref`` among publications ``pub`` that share a run of title words or the DOI, by score."""
+    """The best ``limit`` candidates of each reference ``ref`` among publications ``pub`` that share a run of title words or the DOI, by score.
+
+    A candidate that is among the best of all is among those of each key it is met by, so of a key with many pairs only these go on."""
     r = refs.select("ref", *(F.col(c).alias(f"r_{c}") for c in ("title", "author", "year", "journal", "doi")))
     p = publications.select("pub", *(F.col(c).alias(f"c_{c}") for c in ("title", "author", "year", "journal", "doi")))
-    keyed = lambda d, x: d.withColumn(f"{x}_norm", normalize_title(F.coalesce(f"{x}_title", F.lit("")))).select(F.col("ref" if x == "r" else "pub").alias(x), F.explode(F.concat(F.transform(block_keys(F.col(f"{x}_norm")), lambda k: F.concat(F.lit("t:"), k)), F.coalesce(F.array(F.concat(F.lit("d:"), normalize_doi(F.col(f"{x}_doi")))), F.array().cast("array<string>")))).alias("k")).where("k is not null")
-    pairs = keyed(r, "r").join(keyed(p, "c"), "k").select(F.col("r").alias("ref"), F.col("c").alias("pub")).distinct()
+
+    def keyed(d, x, name):
+        """A row for each key, with what a group compares: the journal's text follows a mark, so that one without letters is not a missing one."""
+        d = d.where(F.col(name).isNotNull()).select(F.col(name), F.col(f"{x}_doi"), normalize_title(F.coalesce(f"{x}_title", F.lit(""))).alias("norm"), name_token(F.col(f"{x}_author")).alias("author"), F.coalesce(F.col(f"{x}_year").cast("string"), F.lit("")).alias("year"),
+            F.when(F.coalesce(f"{x}_journal", F.lit("")) == "", "").otherwise(F.concat(F.lit("="), normalize_title(F.coalesce(f"{x}_journal", F.lit(""))))).alias("journal"))
+        keys = F.concat(F.transform(block_keys(F.col("norm")), lambda k: F.concat(F.lit("t:"), k)), F.coalesce(F.array(F.concat(F.lit("d:"), normalize_doi(F.col(f"{x}_doi")))), F.array().cast("array<string>")))
+        return saved(d.withColumn("k", F.explode(keys)).where("k is not null").drop(f"{x}_doi"), "keyed")
+
+    from ..plans.tables import saved
+
+    rk, pk = keyed(r, "r", "ref"), keyed(p, "c", "pub")
+    n = saved(rk.groupBy("k").agg(F.count("*").alias("n_r")).join(pk.groupBy("k").agg(F.count("*").alias("n_p")), "k"), "key-sizes")
+    small, large = n.where(F.col("n_r") * F.col("n_p") <= PAIRS).select("k"), n.where(F.col("n_r") * F.col("n_p") > PAIRS).select("k", F.ceil(F.col("n_r") / REFS).alias("a_n"), F.ceil(F.col("n_p") / PUBS).alias("b_n"))
+    pairs = rk.join(small, "k").select("k", "ref").join(pk.select("k", "pub"), "k").select("ref", "pub")
+    dealt = lambda d, name, own, other: d.join(large, "k").withColumn(own, F.pmod(F.xxhash64(name), F.col(f"{own}_n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_n") - 1))).drop("a_n", "b_n")
+    groups = dealt(rk, "ref", "a", "b").groupBy("k", "a", "b").cogroup(dealt(pk, "pub", "b", "a").groupBy("k", "a", "b"))
+    kinds = f"ref {refs.schema['ref'].dataType.simpleString()}, pub {publications.schema['pub'].dataType.simpleString()}"
+    pairs = saved(pairs.unionByName(groups.applyInPandas(_best_of_group(limit), kinds)).distinct(), "pairs")
     scored = score(pairs.join(r, "ref").join(p, "pub"))
     place = F.row_number().over(Window.partitionBy("ref").orderBy(F.col("score").desc(), "pub"))
     return scored.withColumn("place", place).where(F.col("place") <= limit)

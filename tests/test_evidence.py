@@ -350,6 +350,42 @@ def test_document_references(spark):
     assert rows == {1: "completed", 2: "pending"}
 
 
+def test_candidates_of_a_frequent_key_are_those_of_all_pairs(spark, monkeypatch):
+    """Titles that share runs of words, with equal ones, missing parts and DOIs: in groups of any size the best are those of every pair scored; of 40,000 pairs few titles are compared."""
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [(i, pick("A study of ", "A study on ", "Of ") + pick("cold rings", "old rings", "old bolts in use") + pick("", f" {rng.randrange(40)}"), pick("Smith J", "Doe", "", None), pick(1999, 2001, None), pick("J Test", "J Tests", "Acta", "--", "", None), pick("10.1/a", f"10.1/{i}", None, None)) for i in range(160)]
+    fields = "title string, author string, year int, journal string, doi string"
+    refs, pubs = spark.createDataFrame(rows[:60], f"ref long, {fields}"), spark.createDataFrame(rows[50:], f"pub long, {fields}")
+    score_all = lambda: sorted((r.ref, r.place, r.pub, r.score, r.decision) for r in pdfrefs.candidates(refs, pubs, 3).collect())
+    monkeypatch.setattr(pdfrefs, "PAIRS", 10**9)
+    want = score_all()
+    for n_refs, n_pubs in ((1000, 30_000), (7, 5)):
+        monkeypatch.setattr(pdfrefs, "PAIRS", 0)
+        monkeypatch.setattr(pdfrefs, "REFS", n_refs)
+        monkeypatch.setattr(pdfrefs, "PUBS", n_pubs)
+        assert score_all() == want
+    assert len({r[0] for r in want}) == 60
+    calls = []
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(pdfrefs.difflib, "SequenceMatcher", Counted)
+    import pandas as pd
+
+    many = pd.DataFrame({"ref": range(200), "k": "t:ring study number", "norm": [f"large ring study number {i} of small" for i in range(200)], "author": "smith", "year": [str(1990 + i % 50) for i in range(200)], "journal": "=j"})
+    found = pdfrefs._best_of_group(3)(many, many.rename(columns={"ref": "pub"}))
+    assert len(found) == 600
+    assert set(zip(range(200), range(200), strict=True)) <= set(zip(found["ref"], found["pub"], strict=True))
+    assert len(calls) < 40_000 / 20
+
+
 def test_reference_candidates(spark):
     fields = "title string, author string, year int, journal string, doi string"
     refs = spark.createDataFrame([(1, "A title of some length", "Smith", 2001, "J Test", None), (2, "Quite another thing", "Doe", 1999, None, "10.1/q"), (3, "Nothing like it", None, None, None, None)], f"ref int, {fields}")
