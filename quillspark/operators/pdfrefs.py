@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import policy
-from ..functions.text import clean_page, expand_citations, normalize_doi, normalize_title, strip_page_noise, title_similarity
+from ..functions.text import clean_page, expand_citations, matches, normalize_doi, normalize_title, padded, ratios, strip_page_noise, title_similarity
 
 #: The heading of a reference list, what opens an entry, and a group of citations in a body.
 HEADING = r"(?im)^\s*(?:references|bibliography|参考文献)\s*$"
@@ -122,82 +122,159 @@ def block_keys(norm: Column, words: int = 3) -> Column:
 
 
 #: Pairs of a key up to which they are scored one by one; references and publications of a larger one that meet in one group.
-PAIRS, REFS, PUBS = 1024, 1000, 30_000
+PAIRS, REFS, PUBS = 1024, 4000, 30_000
+#: Pairs of a group that are worked on at once: as a table of bounds, and as titles. Pairs of journals that are compared beforehand.
+CELLS, BATCH, JOURNALS = 1 << 19, 1 << 16, 20_000
 
 
-def _round6(x: float) -> float:
-    """As ``F.round``."""
-    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+def _round6(x: np.ndarray) -> np.ndarray:
+    """As ``F.round``: by the decimal digits where they are near a half."""
+    out = np.floor(x * 1e6 + 0.5) / 1e6
+    for i in np.flatnonzero(np.abs(x * 1e6 - np.floor(x * 1e6) - 0.5) < 1e-6):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def _total(title: np.ndarray, author: np.ndarray, year: np.ndarray, journal: np.ndarray) -> np.ndarray:
+    """The weighted score before it is rounded, step by step as ``score`` works it out; a part that is not known is NaN."""
+    top, weight = 0.0 + title * WEIGHTS["title"], 0.0 + WEIGHTS["title"]
+    for w, v in ((WEIGHTS["author"], author), (WEIGHTS["year"], year), (WEIGHTS["journal"], journal)):
+        top, weight = top + np.where(np.isnan(v), 0.0, v * w), weight + np.where(np.isnan(v), 0.0, w)
+    return top / weight
+
 
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where((a == "") | (b == ""), np.nan, (a == b).astype(float))
 
-def _letters(titles: list[str]) -> np.ndarray:
-    """How often each of a-z, 0-9 and space is in each normalised title."""
-    out = np.zeros((len(titles), 37), np.int16)
-    at = np.repeat(np.arange(len(titles)), [len(t) for t in titles])
-    raw = np.frombuffer("".join(titles).encode(), np.uint8).astype(np.int64)
-    np.add.at(out, (at, np.where(raw == 32, 36, np.where(raw < 97, raw - 48 + 26, raw - 97))), 1)
+
+def _places(codes: np.ndarray) -> np.ndarray:
+    """Bit i of cell (t, c): character i of title t is c."""
+    out = np.zeros((len(codes), 256), np.uint64)
+    for i in range(min(codes.shape[1], 63)):
+        np.bitwise_or.at(out, (np.arange(len(codes)), codes[:, i]), np.uint64(1 << i))
+    out[:, :2] = 0  # what fills up
     return out
 
 
-def _best_of_group(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """The pairs of a group that are among the best ``limit`` of a reference by score, then by ``pub``: exactly those, but a title is only compared where its bound may still reach them."""
+def _in_order(places: np.ndarray, i: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of titles ``i`` and the titles of ``codes``, at least what difflib matches, for first titles of under 64 characters."""
+    v = np.full(len(codes), ~np.uint64(0))
+    flat, row = places.ravel(), i * places.shape[1]
+    for c in codes.T:
+        u = v & flat[row + c]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v & ((np.uint64(1) << size[i].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+
+def _unary(codes: list[np.ndarray]) -> list[np.ndarray]:
+    """Titles as 0 and 1, so that a product of two counts the characters they share in any order."""
+    found = [c for c in np.unique(np.concatenate([np.unique(x) for x in codes])) if c > 1]
+    n = [[(x == c).sum(axis=1) for c in found] for x in codes]
+    most = [min(y.max(initial=0) for y in each) for each in zip(*n, strict=True)]
+    return [np.stack([y >= k + 1 for y, m in zip(each, most, strict=True) for k in range(m)] or [np.zeros(len(x), bool)], axis=1).astype(np.float32) for x, each in zip(codes, n, strict=True)]
+
+
+def _best_of_group(limit: int, more: tuple[str, ...] = ()) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The pairs of a group that are among the best ``limit`` of a reference by score, then by ``pub``: exactly those, but a title is only compared where its bound may still reach them.
+
+    Bounds come from the characters that titles share, first in any order, then in the same order. Pairs under a reference's ``least`` score are left out."""
+    same = ["norm", "author", "year", "journal"]
 
     def best(r: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pub", kind="stable").reset_index(drop=True)
+        p = p.sort_values("pub", kind="stable")
         if not len(r) or not len(p):
-            return pd.DataFrame({"ref": r["ref"].iloc[:0], "pub": p["pub"].iloc[:0]})
+            return pd.DataFrame({"ref": r["ref"].iloc[:0], "pub": p["pub"].iloc[:0], "score": pd.Series(dtype=float), **{c: r[c].iloc[:0] for c in more}})
+        r, key = r.reset_index(drop=True), {c: r[c].iloc[0] for c in more}
         if r["k"].iloc[0].startswith("d:"):  # one DOI: all score 1
             top = p["pub"].iloc[:limit]
-            return pd.DataFrame({"ref": r["ref"].repeat(len(top)).to_numpy(), "pub": np.tile(top.to_numpy(), len(r))})
-        tails = {x: i for i, x in enumerate(dict.fromkeys(zip(p["author"], p["year"], p["journal"], strict=True)))}
-        tail = np.array([tails[x] for x in zip(p["author"], p["year"], p["journal"], strict=True)])
-        titles, letters = p["norm"].tolist(), _letters(p["norm"].tolist())
-        size = np.array([len(t) for t in titles])
-        orders: dict[tuple, tuple] = {}
-        ratios: dict[tuple[str, str], float] = {}
-        refs, pubs = [], []
-
-        def journal(a: str, b: str) -> float:
-            if (a, b) not in ratios:
-                ratios[a, b] = difflib.SequenceMatcher(None, a, b).ratio()
-            return ratios[a, b]
-
-        def parts(x: tuple, y: tuple) -> list[tuple[float, float | None]]:
-            author = float(x[0] == y[0]) if x[0] and y[0] else None
-            year = float(x[1] == y[1]) if x[1] and y[1] else None
-            return [(WEIGHTS["author"], author), (WEIGHTS["year"], year), (WEIGHTS["journal"], journal(x[2][1:], y[2][1:]) if x[2] and y[2] else None)]
-
-        def total(title: float, more: list[tuple[float, float | None]]) -> float:
-            top, weight = 0.0 + title * WEIGHTS["title"], 0.0 + WEIGHTS["title"]
-            for w, v in more:
-                top, weight = top + (0.0 if v is None else v * w), weight + (0.0 if v is None else w)
-            return top / weight
-
-        for ref, norm, mine, own in zip(r["ref"], r["norm"], zip(r["author"], r["year"], r["journal"], strict=True), _letters(r["norm"].tolist()), strict=True):
-            if mine not in orders:
-                more = [parts(mine, x) for x in tails]
-                least, step = np.array([total(0.0, m) for m in more]), np.array([total(1.0, m) for m in more])
-                by = np.argsort(-step[tail], kind="stable")
-                orders[mine] = more, by, least[tail][by], (step - least)[tail][by]
-            more, by, least, slope = orders[mine]
-            held: list[tuple[float, int]] = []  # (-score, place by pub), best first
-            known: dict[str, float] = {}
-            for low in range(0, len(by), 512):
-                part = by[low : low + 512]
-                if len(held) == limit and least[low] + slope[low] + 1e-6 < -held[-1][0]:
-                    break
-                bound = least[low : low + 512] + slope[low : low + 512] * 2 * np.minimum(letters[part], own).sum(axis=1) / np.maximum(len(norm) + size[part], 1)
-                for i in np.argsort(-bound, kind="stable"):
-                    if len(held) == limit and bound[i] + 1e-6 < -held[-1][0]:
-                        break
-                    at = int(part[i])
-                    title = titles[at]
-                    if title not in known:
-                        known[title] = difflib.SequenceMatcher(None, norm, title).ratio() if norm and title else 0.0
-                    held = sorted([*held, (-_round6(total(known[title], more[tail[at]])), at)])[:limit]
-            refs += [ref] * len(held)
-            pubs += [at for _, at in held]
-        return pd.DataFrame({"ref": pd.Series(refs, dtype=r["ref"].dtype), "pub": p["pub"].iloc[pubs].to_numpy()})
+            return pd.DataFrame({"ref": r["ref"].repeat(len(top)).to_numpy(), "pub": np.tile(top.to_numpy(), len(r)), "score": 1.0, **key})
+        p = p.groupby(same, sort=False).head(limit).reset_index(drop=True)  # of equal ones, the first
+        asked = r.groupby(same, sort=False).ngroup().to_numpy()
+        q = r.drop_duplicates(same)
+        least = np.full(len(q), np.inf)
+        np.minimum.at(least, asked, r["least"].fillna(-1.0).to_numpy(float) if "least" in r else np.full(len(r), -1.0))
+        x, x_size = padded(q["norm"].tolist(), 0)
+        y, y_size = padded(p["norm"].tolist(), 1)
+        bits, (x_bits, y_bits) = _places(x), _unary([x, y])
+        q_author, q_year, p_author, p_year = (d[c].to_numpy(object) for d in (q, p) for c in ("author", "year"))
+        (q_at, q_journal), (p_at, p_journal) = pd.factorize(q["journal"]), pd.factorize(p["journal"])
+        p_tails = p[same[1:]].drop_duplicates()
+        p_tail = p.groupby(same[1:], sort=False).ngroup().to_numpy()
+        exact = len(q_journal) * len(p_journal) <= JOURNALS
+        # likeness of journals (NaN: one is not there); where there are many, 1 stands for it until a pair gets so far
+        likeness: np.ndarray | None = None
+        if exact:
+            each = [(a, b) for a in q_journal for b in p_journal]
+            likeness = np.where([a == "" or b == "" for a, b in each], np.nan, ratios([a[1:] for a, _ in each], [b[1:] for _, b in each])).reshape(len(q_journal), len(p_journal))
+
+        def journals(i: np.ndarray, j: np.ndarray, compare: bool) -> np.ndarray:
+            if likeness is not None:
+                return likeness[q_at[i], p_at[j]]
+            a, b = q_journal.to_numpy(object)[q_at[i]], p_journal.to_numpy(object)[p_at[j]]
+            return np.where((a == "") | (b == ""), np.nan, ratios([t[1:] for t in a], [t[1:] for t in b]) if compare else 1.0)
+
+        def scores(i: np.ndarray, j: np.ndarray, matched: np.ndarray, compare: bool = False) -> np.ndarray:
+            title = 2.0 * matched / (x_size[i] + y_size[j])
+            return _round6(_total(title, _agree(q_author[i], p_author[j]), _agree(q_year[i], p_year[j]), journals(i, j, compare)))
+
+        def compared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            if y.shape[1] < 200 and x.shape[1] <= 500:
+                return scores(i, j, matches(x[i], x_size[i], y[j], y_size[j]), True)
+            titles = ratios([q["norm"].iat[k] for k in i], [p["norm"].iat[k] for k in j])
+            return _round6(_total(titles, _agree(q_author[i], p_author[j]), _agree(q_year[i], p_year[j]), journals(i, j, True)))
+
+        def in_order(i: np.ndarray, j: np.ndarray, shared: np.ndarray) -> np.ndarray:
+            out, short = shared.astype(np.int64), x_size[i] < 64
+            out[short] = _in_order(bits, i[short], x_size, y[j[short]])
+            return out
+
+        def ordered(i: np.ndarray, j: np.ndarray, s: np.ndarray, limit: int = limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The best of each reference, in order."""
+            by = np.lexsort((j, -s, i))
+            i, j, s = i[by], j[by], s[by]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            return i[place < limit], j[place < limit], s[place < limit]
+
+        out = []
+        step = max(1, CELLS // len(p))
+        for low in range(0, len(q), step):
+            rows = np.arange(low, min(low + step, len(q)))
+            tails, at = np.unique(np.array([f"{a}\n{b}\n{c}" for a, b, c in zip(q_author[rows], q_year[rows], q_at[rows], strict=True)], object).astype(str), return_index=True, return_inverse=True)[1:]
+            i, j = (z.ravel() for z in np.meshgrid(rows[tails], p_tails.index.to_numpy(), indexing="ij"))
+            base = _total(np.zeros(len(i)), *(tail := (_agree(q_author[i], p_author[j]), _agree(q_year[i], p_year[j]), journals(i, j, False))))
+            slope = _total(np.ones(len(i)), *tail) - base
+            base, slope = (z.reshape(len(tails), -1).astype(np.float32)[:, p_tail] for z in (base, slope))
+            bound = x_bits[rows] @ y_bits.T
+            shared = bound.astype(np.int16)
+            bound *= np.float32(2) / (x_size[rows, None] + y_size).astype(np.float32)
+            bound *= slope[at]
+            bound += base[at]
+            n = min(len(p), limit + 9)
+            first = np.argpartition(bound, len(p) - n, axis=1)[:, len(p) - n :]
+            i, j = np.repeat(rows, n), first.ravel()
+            i, j, _ = ordered(i, j, scores(i, j, in_order(i, j, shared[i - low, j])), limit + 1)
+            bound[i - low, j] = -np.inf
+            held = ordered(i, j, compared(i, j))
+            floor, last = np.full(len(rows), -1.0), np.full(len(rows), len(p))
+            full = np.searchsorted(held[0], rows, "right") - np.searchsorted(held[0], rows) == limit
+            at_end = np.searchsorted(held[0], rows, "right") - 1
+            floor[full], last[full] = held[2][at_end[full]], held[1][at_end[full]]
+            higher = least[rows] > floor
+            floor[higher], last[higher] = least[rows][higher], len(p)
+            i, j = np.nonzero(bound >= (floor - 2e-6).astype(np.float32)[:, None])
+            found = [held]
+            for cut in range(0, len(i), BATCH):
+                a, b = i[cut : cut + BATCH], j[cut : cut + BATCH]
+                for finer in (False, True):
+                    s = scores(rows[a], b, in_order(rows[a], b, shared[a, b]) if finer else shared[a, b])
+                    may = (s > floor[a]) | ((s == floor[a]) & (b < last[a]))
+                    a, b = a[may], b[may]
+                found.append((rows[a], b, compared(rows[a], b)))
+            i, j, s = ordered(*(np.concatenate(z) for z in zip(*found, strict=True)))
+            keep = s >= least[i]
+            out.append(pd.DataFrame({"u": i[keep], "pub": p["pub"].to_numpy()[j[keep]], "score": s[keep]}))
+        found = pd.DataFrame({"u": asked, "ref": r["ref"]}).merge(pd.concat(out), on="u")
+        return found[["ref", "pub", "score"]].assign(**key)
 
     return best
 
@@ -205,27 +282,62 @@ def _best_of_group(limit: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.Data
 def candidates(refs: DataFrame, publications: DataFrame, limit: int = 5) -> DataFrame:
     """The best ``limit`` candidates of each reference ``ref`` among publications ``pub`` that share a run of title words or the DOI, by score.
 
-    A candidate that is among the best of all is among those of each key it is met by, so of a key with many pairs only these go on."""
+    A candidate that is among the best of all is among those of each key it is met by, so of a key with many pairs only these go on. Where a key makes several groups, a reference with author and year
+    first meets those that contradict neither; all others of the key only where they could still score as much as the last of its best."""
+    from ..plans.tables import saved
+
+    parts = 8 * refs.sparkSession.sparkContext.defaultParallelism
     r = refs.select("ref", *(F.col(c).alias(f"r_{c}") for c in ("title", "author", "year", "journal", "doi")))
     p = publications.select("pub", *(F.col(c).alias(f"c_{c}") for c in ("title", "author", "year", "journal", "doi")))
 
     def keyed(d, x, name):
         """A row for each key, with what a group compares: the journal's text follows a mark, so that one without letters is not a missing one."""
-        d = d.where(F.col(name).isNotNull()).select(F.col(name), F.col(f"{x}_doi"), normalize_title(F.coalesce(f"{x}_title", F.lit(""))).alias("norm"), name_token(F.col(f"{x}_author")).alias("author"), F.coalesce(F.col(f"{x}_year").cast("string"), F.lit("")).alias("year"),
+        d = d.where(F.col(name).isNotNull()).repartition(parts, name).select(F.col(name), F.col(f"{x}_doi"), normalize_title(F.coalesce(f"{x}_title", F.lit(""))).alias("norm"), name_token(F.col(f"{x}_author")).alias("author"), F.coalesce(F.col(f"{x}_year").cast("string"), F.lit("")).alias("year"),
             F.when(F.coalesce(f"{x}_journal", F.lit("")) == "", "").otherwise(F.concat(F.lit("="), normalize_title(F.coalesce(f"{x}_journal", F.lit(""))))).alias("journal"))
         keys = F.concat(F.transform(block_keys(F.col("norm")), lambda k: F.concat(F.lit("t:"), k)), F.coalesce(F.array(F.concat(F.lit("d:"), normalize_doi(F.col(f"{x}_doi")))), F.array().cast("array<string>")))
         return saved(d.withColumn("k", F.explode(keys)).where("k is not null").drop(f"{x}_doi"), "keyed")
 
-    from ..plans.tables import saved
+    kinds = f"ref {refs.schema['ref'].dataType.simpleString()}, pub {publications.schema['pub'].dataType.simpleString()}, score double"
+    split = lambda n_r, n_p: (F.ceil(n_r / REFS).alias("a_n"), F.ceil(n_p / PUBS).alias("b_n"))
+
+    def dealt(d, sizes, on, name, own, other):
+        """Each row in its own part of a group, once for each part of the other side."""
+        return d.join(sizes, on).withColumn(own, F.pmod(F.xxhash64(name), F.col(f"{own}_n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_n") - 1))).drop("a_n", "b_n")
+
+    def met(left, right, by, more=()):
+        by = [*by, "a", "b"]
+        fields = ", ".join([kinds, *(f"{c} string" for c in more)])
+        return saved(left.repartition(parts, *by).groupBy(*by).cogroup(right.repartition(parts, *by).groupBy(*by)).applyInPandas(_best_of_group(limit, more), fields), "met")
 
     rk, pk = keyed(r, "r", "ref"), keyed(p, "c", "pub")
     n = saved(rk.groupBy("k").agg(F.count("*").alias("n_r")).join(pk.groupBy("k").agg(F.count("*").alias("n_p")), "k"), "key-sizes")
-    small, large = n.where(F.col("n_r") * F.col("n_p") <= PAIRS).select("k"), n.where(F.col("n_r") * F.col("n_p") > PAIRS).select("k", F.ceil(F.col("n_r") / REFS).alias("a_n"), F.ceil(F.col("n_p") / PUBS).alias("b_n"))
+    small, large = n.where(F.col("n_r") * F.col("n_p") <= PAIRS).select("k"), saved(n.where(F.col("n_r") * F.col("n_p") > PAIRS), "large-keys")
     pairs = rk.join(small, "k").select("k", "ref").join(pk.select("k", "pub"), "k").select("ref", "pub")
-    dealt = lambda d, name, own, other: d.join(large, "k").withColumn(own, F.pmod(F.xxhash64(name), F.col(f"{own}_n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_n") - 1))).drop("a_n", "b_n")
-    groups = dealt(rk, "ref", "a", "b").groupBy("k", "a", "b").cogroup(dealt(pk, "pub", "b", "a").groupBy("k", "a", "b"))
-    kinds = f"ref {refs.schema['ref'].dataType.simpleString()}, pub {publications.schema['pub'].dataType.simpleString()}"
-    pairs = saved(pairs.unionByName(groups.applyInPandas(_best_of_group(limit), kinds)).distinct(), "pairs")
+    col, none = F.col, F.lit("")
+    # a key is left out where all that have it, of both sides, have one more frequent key
+    most = lambda d, name: d.join(large, "k").withColumn("top", F.max(F.struct(col("n_r") * col("n_p"), "k")).over(Window.partitionBy(name))["k"]).groupBy("k").agg(F.min("top").alias("low"), F.max("top").alias("high"))
+    inside = most(rk.select("k", "ref"), "ref").unionByName(most(pk.select("k", "pub"), "pub")).groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high and low != k")
+    large = saved(large.join(inside, "k", "left_anti"), "large-keys")
+    rl, pl = (saved(d.join(large.withColumn("whole", (col("n_r") <= REFS) & (col("n_p") <= PUBS)).select("k", "whole"), "k"), "large") for d in (rk, pk))
+
+    known = rl.where("not whole and k like 't:%' and author != '' and year != ''")
+    kin = F.explode(F.array(F.struct("author", "year"), F.struct(col("author"), none.alias("year")), F.struct(none.alias("author"), col("year")), F.struct(none.alias("author"), none.alias("year"))))
+    reach = known.groupBy("k", "author", "year").agg(F.count("*").alias("n_r")).withColumn("c", kin).select("k", "author", "year", "n_r", col("c.author").alias("c_author"), col("c.year").alias("c_year"))
+    reach = reach.join(pl.where("not whole").groupBy("k", col("author").alias("c_author"), col("year").alias("c_year")).agg(F.count("*").alias("n_p")), ["k", "c_author", "c_year"])
+    reach = saved(reach.withColumn("n_r", F.sum("n_r").over(Window.partitionBy("k", "c_author", "c_year"))).select("k", "author", "year", "c_author", "c_year", *split(col("n_r"), col("n_p"))), "reach")
+    classes = reach.select("k", "c_author", "c_year", "a_n", "b_n").distinct()
+    named = pl.where("not whole").withColumns({"c_author": col("author"), "c_year": col("year")})
+    near = met(dealt(known, reach, ["k", "author", "year"], "ref", "a", "b"), dealt(named, classes, ["k", "c_author", "c_year"], "pub", "b", "a"), ["k", "c_author", "c_year"], ("k",))
+
+    least = near.groupBy("k", "ref").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(limit - 1)).alias("least")).groupBy("ref").agg(F.max("least").alias("least"))
+    rest = [max(float(_total(np.ones(()), *np.array(x))) for x in ((1, 0, j), (0, 1, j), (0, 0, j), (np.nan, 0, j), (0, np.nan, j))) for j in (np.nan, 1.0)]
+    over = F.when(col("journal") == "", rest[0]).otherwise(rest[1]) + 2e-6
+    done = F.coalesce(col("k").startswith("t:") & (col("author") != "") & (col("year") != "") & (col("least") > over), F.lit(False))
+    open_ = saved(rl.join(least, "ref", "left").where(~done), "open")
+    sizes = saved(open_.groupBy("k").agg(F.count("*").alias("n_r")).join(large.select("k", "n_p"), "k").select("k", *split(col("n_r"), col("n_p"))), "open-sizes")
+    far = met(dealt(open_, sizes, "k", "ref", "a", "b"), dealt(pl, sizes, "k", "pub", "b", "a"), ["k"])
+
+    pairs = saved(pairs.unionByName(near.select("ref", "pub")).unionByName(far.select("ref", "pub")).distinct(), "pairs")
     scored = score(pairs.join(r, "ref").join(p, "pub"))
     place = F.row_number().over(Window.partitionBy("ref").orderBy(F.col("score").desc(), "pub"))
     return scored.withColumn("place", place).where(F.col("place") <= limit)

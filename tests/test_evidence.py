@@ -386,6 +386,77 @@ def test_candidates_of_a_frequent_key_are_those_of_all_pairs(spark, monkeypatch)
     assert len(calls) < 40_000 / 20
 
 
+def test_candidates_compare_few_titles_and_journals_where_all_differ(monkeypatch):
+    """90,000 pairs of one key, each with its own title, year and journal: the best are those of all pairs, and few texts are compared one by one."""
+    import difflib
+
+    import numpy as np
+    import pandas as pd
+
+    n, ratio = 300, difflib.SequenceMatcher
+    t = pd.DataFrame({"ref": range(n), "k": "t:ring study number", "norm": [f"large ring study number {i * 7919 % 10007} of small" for i in range(n)], "author": "smith", "year": [str(1700 + i % 150) for i in range(n)], "journal": [f"=brand {i * 31 % 1009}" for i in range(n)]})
+    calls = []
+
+    class Counted(ratio):
+        def ratio(self):
+            calls.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(pdfrefs.difflib, "SequenceMatcher", Counted)
+    found = pdfrefs._best_of_group(3)(t, t.rename(columns={"ref": "pub"}))
+    assert len(calls) < n * n / 20
+    got = found.groupby("ref")["pub"].agg(set).to_dict()
+    assert len(got) == n
+    w = pdfrefs.WEIGHTS
+    for i in range(0, n, 20):
+        s = [round(w["title"] * ratio(None, t.norm[i], t.norm[j]).ratio() + w["author"] + w["year"] * (t.year[i] == t.year[j]) + w["journal"] * ratio(None, t.journal[i][1:], t.journal[j][1:]).ratio(), 6) for j in range(n)]
+        assert got[i] == set(np.lexsort((range(n), [-v for v in s]))[:3])
+
+
+def test_candidates_meet_others_of_a_key_only_where_these_may_be_among_the_best(spark, monkeypatch):
+    """Of a key with several groups, references with author and year whose best agree in both are done; the others are searched in full. The rows are those of all pairs."""
+    from quillspark.plans import tables
+
+    rows = [(i, f"Cold rings study number {i} of small", "Smith J" if i % 40 else None, 1990 + i % 4 if i < 90 else 2020 + i, "J Test", None) for i in range(100)]
+    fields = "title string, author string, year int, journal string, doi string"
+    refs, pubs = spark.createDataFrame(rows, f"ref long, {fields}"), spark.createDataFrame(rows, f"pub long, {fields}")
+    sizes, plain = {}, tables.saved
+
+    def saved(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(tables, "saved", saved)
+    found = lambda: sorted((r.ref, r.place, r.pub, r.score) for r in pdfrefs.candidates(refs, pubs, 3).collect())
+    monkeypatch.setattr(pdfrefs, "PAIRS", 10**9)
+    want = found()
+    monkeypatch.setattr(pdfrefs, "PAIRS", 0)
+    monkeypatch.setattr(pdfrefs, "REFS", 30)
+    monkeypatch.setattr(pdfrefs, "PUBS", 25)
+    assert found() == want and len(want) == 300
+    assert sizes["large"] == 100  # of all keys, as these have no pair that "rings study number" has not
+    assert sizes["open"] == 13
+
+
+def test_ratios_are_those_of_difflib():
+    import difflib
+    import random
+
+    from quillspark.functions.text import ratios
+
+    rng = random.Random(3)
+    text = lambda most: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    a, b = [], []
+    for _ in range(1500):
+        letters, most = rng.choice(["ab", "abc ", "0123456789", "abcdefgh "]), rng.choice([3, 12, 50, 190, 260])
+        x = text(most)
+        a.append(x)
+        b.append(rng.choice([x, text(most), x[: len(x) // 2] + text(5) + x[len(x) // 2 :]]))
+    assert ratios(a, b).tolist() == [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    assert ratios([], []).tolist() == []
+
+
 def test_reference_candidates(spark):
     fields = "title string, author string, year int, journal string, doi string"
     refs = spark.createDataFrame([(1, "A title of some length", "Smith", 2001, "J Test", None), (2, "Quite another thing", "Doe", 1999, None, "10.1/q"), (3, "Nothing like it", None, None, None, None)], f"ref int, {fields}")
